@@ -12,31 +12,37 @@ MAX_PREBUFFER = 10.0
 LONG_PREBUFFER = 30.0
 NO_INDEX_HEADROOM = 1.5
 
-_TERMS = "stretch double, opening double, wait double"
-
-
-@F.pandas_udf(_TERMS)
+@F.pandas_udf("stretch double, opening double, slopes array<double>, offsets array<double>")
 def link_terms(
-    starts: pd.Series,
-    sizes: pd.Series,
-    first: pd.Series,
-    prebuffer: pd.Series,
-    rate: pd.Series,
-    secs: pd.Series,
-    cap: pd.Series,
+    starts: pd.Series, sizes: pd.Series, first: pd.Series, prebuffer: pd.Series, secs: pd.Series, cap: pd.Series
 ) -> pd.DataFrame:
-    """The two terms of a title's need and its wait at ``rate``, from segment ``first`` on.
+    """The two terms of a title's need from segment ``first`` on, and its wait as a function of the rate.
 
     ``stretch`` is the largest bits-over-time of any run of segments j..k. Trying every pair is quadratic; instead a
     trial rate R is raised until no run asks more: with D(j) = bits before j - R * start of j, the worst run ending at
     k begins at the smallest D so far, one pass. The answer is the ratio of a real run, not an approximation.
+
+    The wait at a rate is the largest of the lines slope / rate - offset; only those on the upper hull are returned.
     """
     import numpy as np
 
-    def one(t, b, lo, pre, r, buf, capped):
-        if t is None or b is None or len(t) <= lo:
-            return 0.0, 0.0, 0.0
+    def hull(slopes, offsets):
+        kept: list[tuple[float, float]] = []
+        for s, o in zip(slopes, offsets):
+            if kept and s == kept[-1][0]:
+                continue  # the same bits due later ask for no wait of their own
+            while len(kept) > 1:
+                (s0, o0), (s1, o1) = kept[-2], kept[-1]
+                if (o - o0) * (s1 - s0) > (o1 - o0) * (s - s0):
+                    break
+                kept.pop()
+            kept.append((s, o))
+        return [k[0] for k in kept], [k[1] for k in kept]
+
+    def one(t, b, lo, pre, buf, capped):
         t, bits = np.asarray(t, float)[int(lo) :], np.asarray(b, float)[int(lo) :] * 8.0
+        if len(t) == 0:
+            return 0.0, 0.0, [0.0], [0.0]
         after = np.cumsum(bits)
         ahead = after - bits
         limit = None if capped is None or np.isnan(capped) else float(capped) * 8.0
@@ -58,12 +64,10 @@ def link_terms(
             if not best > trial:
                 break
             trial = best
-        opening = float(np.max(after / (pre + t - t[0])))
-        wait = float(max(np.max(after / r - (t - t[0])), 0.0)) if r is not None and r > 0 else None
-        return trial, opening, wait
+        return trial, float(np.max(after / (pre + t - t[0]))), *hull(after, t - t[0])
 
-    rows = [one(*a) for a in zip(starts, sizes, first, prebuffer, rate, secs, cap)]
-    return pd.DataFrame(rows, columns=["stretch", "opening", "wait"])
+    rows = [one(*a) for a in zip(starts, sizes, first, prebuffer, secs, cap)]
+    return pd.DataFrame(rows, columns=["stretch", "opening", "slopes", "offsets"])
 
 
 def segment_arrays(segs_bytes: DataFrame) -> DataFrame:
@@ -71,25 +75,28 @@ def segment_arrays(segs_bytes: DataFrame) -> DataFrame:
     packed = segs_bytes.groupBy("title").agg(
         F.array_sort(F.collect_list(F.struct("n", "start", "bytes"))).alias("segs")
     )
-    return packed.select(
-        "title", F.col("segs.start").alias("starts"), F.col("segs.bytes").alias("sizes")
-    )
+    return packed.select("title", F.col("segs.start").alias("starts"), F.col("segs.bytes").alias("sizes"))
+
+
+SHAPE = ("title", "first", "buffer_secs", "buffer_bytes", "size")
 
 
 def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float = MAX_PREBUFFER) -> DataFrame:
-    """``deliveries`` (title, first, buffer_secs, buffer_bytes, rate?, size?, …) with stretch, needed rate and wait.
+    """``deliveries`` (title, first, buffer_secs, buffer_bytes, size, rate, ...) with stretch, needed rate and wait.
 
     ``size`` rescales the title's bytes to what is delivered of it. ``wait`` is null without a rate, and where no wait
-    would do because a stretch asks for more than the rate.
+    would do because a stretch asks for more than the rate. Deliveries alike in all but the rate are costed once; the
+    segments themselves never travel with them.
     """
-    packed = segment_arrays(segs_bytes)
     total = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
     factor = F.when((total > 0) & F.col("size").isNotNull(), F.col("size") / total).otherwise(F.lit(1.0))
-    rows = deliveries if "size" in deliveries.columns else deliveries.withColumn("size", F.lit(None).cast("double"))
-    rows = rows if "rate" in rows.columns else rows.withColumn("rate", F.lit(None).cast("double"))
-    terms = (
-        rows.join(packed, "title")
+    tasks = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    costs = (
+        deliveries.select(*SHAPE)
+        .distinct()
+        .join(segment_arrays(segs_bytes), "title")
         .withColumn("__factor", factor)
+        .repartition(tasks)  # little data but much arithmetic: do not let it be coalesced into one task
         .withColumn(
             "__terms",
             link_terms(
@@ -97,45 +104,41 @@ def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float =
                 F.transform("sizes", lambda x: x * F.col("__factor")),
                 F.col("first").cast("int"),
                 F.lit(float(prebuffer)),
-                F.col("rate").cast("double"),
                 F.col("buffer_secs").cast("double"),
                 F.col("buffer_bytes").cast("double"),
             ),
         )
+        .select(*[F.col(k).alias(f"__{k}") for k in SHAPE], "__terms")
     )
+    cond = F.lit(True)
+    for k in SHAPE:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     stretch = F.col("__terms.stretch")
-    return terms.select(
+    wait = F.array_max(
+        F.zip_with(F.col("__terms.slopes"), F.col("__terms.offsets"), lambda s, o: s / F.col("rate") - o)
+    )
+    return deliveries.join(costs, cond, "left").select(
         *deliveries.columns,
         stretch.alias("stretch_rate"),
         F.greatest(F.col("__terms.opening"), stretch).alias("needed_rate"),
-        F.when(stretch <= F.col("rate"), F.col("__terms.wait")).alias("startup_delay"),
+        F.when((F.col("rate") > 0) & (stretch <= F.col("rate")), F.greatest(wait, F.lit(0.0))).alias("startup_delay"),
     )
 
 
 def link_need(deliveries: DataFrame, segs_bytes: DataFrame) -> DataFrame:
-    """``deliveries`` (…, duration, size) with ``need`` in bits a second, ``indexed`` and ``prebuffer``.
+    """``deliveries`` (as :func:`link_rates`, and duration) with ``need`` in bits a second, ``indexed`` and ``prebuffer``.
 
-    Deliveries alike in all that matters are costed once and joined back.
+    Without a byte index the need is the average with headroom; null when that is not known either.
     """
-    key = ["title", "first", "buffer_secs", "buffer_bytes", "rate", "size"]
-    cost = link_rates(deliveries.select(*key).distinct(), segs_bytes).select(
-        *[F.col(k).alias(f"__{k}") for k in key],
-        F.col("needed_rate").cast("bigint").alias("__need"),
-        F.col("startup_delay").alias("__wait"),
-    )
-    cond = F.lit(True)
-    for k in key:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     average = F.when(
         F.col("size").isNotNull() & (F.col("duration") > 0), (F.col("size") * 8.0 / F.col("duration")).cast("bigint")
     )
-    return deliveries.join(cost, cond, "left").select(
+    indexed = F.col("needed_rate").isNotNull()
+    return link_rates(deliveries, segs_bytes).select(
         *deliveries.columns,
-        F.coalesce("__need", (average * F.lit(NO_INDEX_HEADROOM)).cast("bigint")).alias("need"),
-        F.when(F.col("__need").isNotNull(), True)
-        .when(average.isNotNull(), False)
-        .alias("indexed"),
-        F.when(F.col("rate") > 0, F.col("__wait")).alias("prebuffer"),
+        F.coalesce(F.col("needed_rate").cast("bigint"), (average * F.lit(NO_INDEX_HEADROOM)).cast("bigint")).alias("need"),
+        F.when(indexed, True).when(average.isNotNull(), False).alias("indexed"),
+        F.col("startup_delay").alias("prebuffer"),
     )
 
 

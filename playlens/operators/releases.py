@@ -100,12 +100,25 @@ def classify_fit() -> Column:
     )
 
 
-def player_takes() -> Column:
-    """Whether a reporting player takes the probed video as it is. A level the file does not name is taken."""
+def probe_facts(media: DataFrame) -> DataFrame:
+    """``media`` with what its codec string and Dolby Vision record name: worked out once a release, before any join."""
     named = codec_profile_level(_c("codecs"))
-    profile, level, high = named["profile"], named["level"], F.coalesce(named["high_tier"], F.lit(False))
-    untold = named.isNull()
-    depth = av1_depth(_c("codecs"))
+    bits = F.try_element_at(F.split("codecs", r"\."), F.lit(4))
+    return media.withColumn("__named", named).select(
+        *media.columns,
+        _c("__named.profile").alias("named_profile"),
+        _c("__named.level").alias("named_level"),
+        _c("__named.high_tier").alias("named_high"),
+        av1_depth(_c("codecs")).alias("av1_bits"),
+        F.when(_c("video") == "vp9", bits).alias("vp9_bits"),
+        dolby_vision_signal(_c("dv_profile"), _c("dv_compat"), _c("dv_level")).alias("dv_signal"),
+    )
+
+
+def _player_takes() -> Column:
+    """Whether a reporting player takes the probed video as it is. A level the file does not name is taken."""
+    profile, level, high = _c("named_profile"), _c("named_level"), F.coalesce("named_high", F.lit(False))
+    untold = profile.isNull()
 
     def fits(limit: Column) -> Column:
         return (limit > 0) & (untold | (level <= limit))
@@ -118,14 +131,12 @@ def player_takes() -> Column:
     )
     av1 = (
         F.when(~untold & ((profile != 0) | high), 0)
-        .when(depth == 10, _c("av1_main10"))
-        .when(depth.isNull() | (depth == 8), F.greatest("av1", "av1_main10"))
+        .when(_c("av1_bits") == 10, _c("av1_main10"))
+        .when(_c("av1_bits").isNull() | (_c("av1_bits") == 8), F.greatest("av1", "av1_main10"))
         .otherwise(0)
     )
     h264 = F.when(profile == 110, _c("h264_high10")).otherwise(_c("h264"))
-    vp9 = F.when(profile == 0, _c("vp9")).when(
-        (profile == 2) & (F.try_element_at(F.split("codecs", r"\."), F.lit(4)) == "10"), _c("vp9_profile2")
-    )
+    vp9 = F.when(profile == 0, _c("vp9")).when((profile == 2) & (_c("vp9_bits") == "10"), _c("vp9_profile2"))
     takes = (
         F.when(_c("video") == "h264", fits(h264))
         .when(_c("video") == "hevc", fits(hevc) & (~_c("hdr") | _c("p_hdr")))
@@ -135,44 +146,39 @@ def player_takes() -> Column:
     return F.coalesce(takes, F.lit(False))
 
 
-def plays() -> Column:
-    """As :func:`player_takes`; a player that reported nothing can only have said that it takes no HEVC."""
-    unreported = F.when(_c("video") == "hevc", _c("takes_hevc_flag")).otherwise(~_c("video").isin("av1", "vp9"))
-    return F.when(_c("reported"), player_takes()).otherwise(unreported)
-
-
-def keeps_dolby_vision() -> Column:
-    signal = dolby_vision_signal(_c("dv_profile"), _c("dv_compat"), _c("dv_level"))
-    shown = F.when(_c("dv_profile") == 5, _c("dv_p5")).when(_c("dv_profile") == 8, _c("dv_p8"))
-    return F.coalesce(_c("reported") & signal.isNotNull() & shown, F.lit(False))
-
-
-def no_picture() -> Column:
-    """Dolby Vision with no base layer, to a player that neither shows it nor takes the release as it is."""
-    bare = F.coalesce(_c("dv_compat") == 0, F.lit(False)) & ~_c("dv_mismatch")
-    return bare & ~(keeps_dolby_vision() & plays())
-
-
 def _said(verdict: str, why: Column | str | None) -> Column:
     reason = why if isinstance(why, Column) else F.lit(why).cast("string")
     return F.struct(F.lit(verdict).alias("plays"), reason.alias("why"))
 
 
-def probed_verdict() -> Column:
-    """struct(plays, why) from what opening the release showed."""
+def judge(pairs: DataFrame) -> DataFrame:
+    """Probed releases (with :func:`probe_facts`) beside players, judged:
+
+    ``takes`` (by its report), ``plays_it`` (a player that reported nothing can only have said that it takes no HEVC),
+    ``keeps_dv``, ``blank`` (Dolby Vision with no base layer, to a player that neither shows it nor takes the release as
+    it is) and ``verdict``, struct(plays, why).
+    """
+    unreported = F.when(_c("video") == "hevc", _c("takes_hevc_flag")).otherwise(~_c("video").isin("av1", "vp9"))
+    shown = F.when(_c("dv_profile") == 5, _c("dv_p5")).when(_c("dv_profile") == 8, _c("dv_p8"))
+    bare = F.coalesce(_c("dv_compat") == 0, F.lit(False)) & ~_c("dv_mismatch")
     codec = F.coalesce("codecs", F.lit("video"))
-    return (
-        F.when(
-            no_picture(),
-            _said("no", F.concat(
-                F.format_string("Dolby Vision profile %d", F.coalesce("dv_profile", F.lit(5))),
-                F.when(_c("dv_recordless"), " without a record").otherwise(""),
-            )),
-        )
-        .when(plays(), _said("yes", None))
+    profile5 = F.concat(
+        F.format_string("Dolby Vision profile %d", F.coalesce("dv_profile", F.lit(5))),
+        F.when(_c("dv_recordless"), " without a record").otherwise(""),
+    )
+    verdict = (
+        F.when(_c("blank"), _said("no", profile5))
+        .when(_c("plays_it"), _said("yes", None))
         .when(_c("video") == "hevc", _said("convert", F.concat(codec, F.lit(" is converted"))))
         .otherwise(_said("no", F.concat(codec, F.lit(" is beyond the player"))))
-    )
+    )
+    return (
+        pairs.withColumn("takes", _player_takes())
+        .withColumn("plays_it", F.when(_c("reported"), _c("takes")).otherwise(unreported))
+        .withColumn("keeps_dv", F.coalesce(_c("reported") & _c("dv_signal").isNotNull() & shown, F.lit(False)))
+        .withColumn("blank", bare & ~(_c("keeps_dv") & _c("plays_it")))
+        .withColumn("verdict", verdict)
+    )
 
 
 def listed_verdict(fit: Column) -> Column:
@@ -209,24 +215,16 @@ def audio_plan(codec: Column, channels: Column) -> Column:
 
 
 def signal_range(transcoded: Column) -> Column:
-    """struct(codecs, supplemental, range) the manifest names for the picture as it is sent."""
-    kept = keeps_dolby_vision() & ~_c("dv_mismatch") & ~transcoded
-    dv = dolby_vision_signal(_c("dv_profile"), _c("dv_compat"), _c("dv_level"))
+    """struct(codecs, supplemental, range) the manifest names for a judged release's picture as it is sent."""
+    kept = _c("keeps_dv") & ~_c("dv_mismatch") & ~transcoded
+    dv = _c("dv_signal")
     copied = F.when(_c("video") == "av1", av1_range(_c("codecs"))).when(
         _c("video").isin("hevc", "vp9") & _c("hdr"), F.when(_c("hlg"), "HLG").otherwise("PQ")
     )
-    none = F.lit(None).cast("string")
-    return F.when(
-        kept,
-        F.struct(
-            F.coalesce(dv["codecs"], _c("codecs")).alias("codecs"),
-            dv["supplemental"].alias("supplemental"),
-            dv["range"].alias("range"),
-        ),
-    ).otherwise(
-        F.struct(
-            _c("codecs").alias("codecs"), none.alias("supplemental"), F.when(~transcoded, copied).alias("range")
-        )
+    return F.struct(
+        F.when(kept, F.coalesce(dv["codecs"], _c("codecs"))).otherwise(_c("codecs")).alias("codecs"),
+        F.when(kept, dv["supplemental"]).alias("supplemental"),
+        F.when(kept, dv["range"]).when(~transcoded, copied).alias("range"),
     )
 
 
@@ -298,12 +296,11 @@ def compatibility_matrix(players: DataFrame, media: DataFrame) -> DataFrame:
     """
     traits = ["video", "codecs", "hdr", "dv_profile", "dv_compat", "dv_level", "dv_mismatch", "dv_recordless"]
     kinds = players.groupBy("class", *CAPABILITIES).agg(F.count("*").alias("n_players"))
-    shapes = media.groupBy(*traits).agg(F.count("*").alias("n_releases"))
+    shapes = probe_facts(media.groupBy(*traits).agg(F.count("*").alias("n_releases")))
     family = F.when(_c("video").isin("h264", "hevc", "av1", "vp9"), _c("video")).otherwise("other")
     every = F.explode(F.array(*[F.lit(x) for x in ("h264", "hevc", "av1", "vp9", "other")]))
     pairs = kinds.withColumn("family", every).join(shapes.withColumn("family", family), "family")
-    verdict = probed_verdict()
-    return pairs.select("class", *traits, "n_players", "n_releases", verdict["plays"].alias("plays"), verdict["why"].alias("why"))
+    return judge(pairs).select("class", *traits, "n_players", "n_releases", "verdict.plays", "verdict.why")
 
 
 def playable_share(matrix: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ _EXTS = ", ".join(f"'{e}'" for e in rel.LEFT_OUT)
 _NAME = "coalesce(filename, title)"
 _EXT = rf"regexp_extract(lower({_NAME}), '(\.[a-z0-9]+)$', 1)"
 _LEFT_OUT = f"({_EXT} IN ({_EXTS}))"
+_EXT_E, _LEFT_OUT_E = (x.replace("filename, title", "e.filename, e.title") for x in (_EXT, _LEFT_OUT))
 _UHD = "coalesce(lower(resolution) IN ('2160p', '4k'), false)"
 _FIT = f"""CASE WHEN dv_profile = 5 AND NOT (reported AND dv_p5) THEN 'convert'
     WHEN lower(codec) = 'h264' AND reported THEN CASE WHEN (CASE WHEN bit_depth >= 10 AND (probed OR NOT hdr)
@@ -87,7 +88,7 @@ _WANTS = {
     "unplayable": f"""SELECT title_id, size_bytes, {_NAME} AS name, max(883612800 + (release_id % 1300) * 86400) AS found_at,
         arg_max('verdict ' || release_id % 5, 883612800 + (release_id % 1300) * 86400) AS why
         FROM rel WHERE release_id % 9 = 4 AND size_bytes IS NOT NULL GROUP BY ALL""",
-    "offers": f"""SELECT w.*, e.* EXCLUDE (title_id), p.* EXCLUDE (player_id), {_NAME.replace('title', 'e.title')} AS name,
+    "offers": f"""SELECT w.*, e.* EXCLUDE (title_id), p.* EXCLUDE (player_id), coalesce(e.filename, e.title) AS name,
         (SELECT u.why FROM unplayable u WHERE u.title_id = e.title_id AND u.size_bytes = e.size_bytes
          AND u.name = coalesce(e.filename, e.title) AND w.sec - u.found_at < 604800) AS remembered_why
         FROM wants w JOIN rel e USING (title_id) JOIN players p ON p.player_id = w.owner""",
@@ -109,7 +110,7 @@ def pairs(spark, sf):
     r = c.requests(spark, sf).select("request_id", "title_id", "owner")
     titles = c.releases(spark, sf).select("release_id", "title_id")
     p = c.players(spark, sf).withColumnRenamed("player_id", "owner")
-    return r.join(titles, "title_id").join(c.media(spark, sf), "release_id").join(p, "owner")
+    return r.join(titles, "title_id").join(rel.probe_facts(c.media(spark, sf)), "release_id").join(p, "owner")
 
 
 def unplayable(spark, sf):
@@ -334,10 +335,8 @@ def classify_fit(spark, sf):
     + """SELECT class, video, codecs, hdr, takes, plays, count(*) AS n FROM judged GROUP BY ALL""",
 )
 def player_takes(spark, sf):
-    keys = ["class", "video", "codecs", "hdr"]
-    kinds = pairs(spark, sf).groupBy(*keys, *rel.CAPABILITIES).agg(F.count("*").alias("n"))
-    judged_ = kinds.withColumn("takes", rel.player_takes()).withColumn("plays", rel.plays())
-    return judged_.groupBy(*keys, "takes", "plays").agg(F.sum("n").alias("n"))
+    rows = rel.judge(pairs(spark, sf)).withColumn("plays", _c("plays_it"))
+    return rows.groupBy("class", "video", "codecs", "hdr", "takes", "plays").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -346,7 +345,7 @@ def player_takes(spark, sf):
     + """SELECT class, dv_profile, dv_compat, dv_mismatch, keeps, no_picture, count(*) AS n FROM judged GROUP BY ALL""",
 )
 def dolby_vision_picture(spark, sf):
-    p = pairs(spark, sf).withColumn("keeps", rel.keeps_dolby_vision()).withColumn("no_picture", rel.no_picture())
+    p = rel.judge(pairs(spark, sf)).withColumn("keeps", _c("keeps_dv")).withColumn("no_picture", _c("blank"))
     return p.groupBy("class", "dv_profile", "dv_compat", "dv_mismatch", "keeps", "no_picture").agg(F.count("*").alias("n"))
 
 
@@ -356,7 +355,7 @@ def dolby_vision_picture(spark, sf):
     + "SELECT class, video, verdict AS plays, why, count(*) AS n FROM judged GROUP BY ALL",
 )
 def verdicts(spark, sf):
-    p = pairs(spark, sf).withColumn("v", rel.probed_verdict())
+    p = rel.judge(pairs(spark, sf)).withColumn("v", _c("verdict"))
     return p.groupBy("class", "video", _c("v.plays").alias("plays"), _c("v.why").alias("why")).agg(F.count("*").alias("n"))
 
 
@@ -387,13 +386,13 @@ def release_verdicts(spark, sf):
     rows = rows.withColumn("listed", listed).select(
         "request_id", "release_id", "remembered_why", "listed", *rel.CAPABILITIES
     )
-    known = c.media(spark, sf).where(_c("release_id") % 2 == 0).withColumn("known", F.lit(True))
-    rows = rows.join(known, "release_id", "left")
+    known = rel.probe_facts(c.media(spark, sf)).where(_c("release_id") % 2 == 0).withColumn("known", F.lit(True))
+    rows = rel.judge(rows.join(known, "release_id", "left"))
     silent = ~_c("reported") & _c("takes_hevc_flag")
     v = (
         F.when(_c("remembered_why").isNotNull(), F.struct(F.lit("no").alias("plays"), _c("remembered_why").alias("why")))
         .when(silent, F.struct(F.lit("yes").alias("plays"), F.lit(None).cast("string").alias("why")))
-        .when(_c("known"), rel.probed_verdict())
+        .when(_c("known"), _c("verdict"))
         .otherwise(_c("listed"))
     )
     return rows.withColumn("v", v).select("request_id", "release_id", _c("v.plays").alias("plays"), _c("v.why").alias("why"))
@@ -563,7 +562,7 @@ def delivered_bytes(spark, sf):
         FROM judged GROUP BY ALL""",
 )
 def signal_range(spark, sf):
-    p = pairs(spark, sf).withColumn("s", rel.signal_range(F.lit(False)))
+    p = rel.judge(pairs(spark, sf)).withColumn("s", rel.signal_range(F.lit(False)))
     keys = ["class", "video", "codecs", "dv_profile", "dv_compat", "dv_level", "hdr", "hlg"]
     return p.groupBy(
         *keys,
@@ -699,7 +698,7 @@ def chosen(spark, sf):
     rows = rows.join(first, ["title", "t"], "left")
     costed = tl.segment_bytes(segs, c.byte_index(spark, sf)).where(_c("title") % 14 != 0)
     needs = link.link_need(rows, costed).drop("timeline")
-    full = needs.join(c.media(spark, sf), "release_id").withColumn(
+    full = rel.judge(needs.join(rel.probe_facts(c.media(spark, sf)), "release_id")).withColumn(
         "opens", _c("container").isin("matroska", "mp4") & (_c("video") != "mpeg4")
     )
     av1 = _c("reported") & ((_c("av1") > 0) | (_c("av1_main10") > 0))
@@ -740,10 +739,10 @@ def delivered_picture(spark, sf):
 @query(
     "requested_vs_served",
     _CHOOSE
-    + f"""SELECT w.request_id, e.release_id AS named_id, c.release_id, CASE WHEN e.cached AND NOT e.three_d AND {_LEFT_OUT.replace('title', 'e.title')}
-        THEN 'left out: ' || {_EXT.replace('title', 'e.title')} ELSE o.remembered_why END AS why FROM wants w JOIN chosen c USING (request_id)
+    + f"""SELECT w.request_id, e.release_id AS named_id, c.release_id, CASE WHEN e.cached AND NOT e.three_d AND {_LEFT_OUT_E}
+        THEN 'left out: ' || {_EXT_E} ELSE o.remembered_why END AS why FROM wants w JOIN chosen c USING (request_id)
         JOIN rel e ON e.title_id = w.title_id AND e.listed_pos = w.named_pos LEFT JOIN offers o ON o.request_id = w.request_id AND o.release_id = e.release_id
-        WHERE c.release_id <> e.release_id AND (coalesce(e.cached AND NOT e.three_d AND {_LEFT_OUT.replace('title', 'e.title')}, false)
+        WHERE c.release_id <> e.release_id AND (coalesce(e.cached AND NOT e.three_d AND {_LEFT_OUT_E}, false)
         OR o.remembered_why IS NOT NULL)""",
 )
 def requested_vs_served(spark, sf):
