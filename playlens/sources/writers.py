@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playlens.functions.text import fixed
+
 _c = F.col
 _HEAD = "#EXTM3U\n#EXT-X-VERSION:{}\n"
 _VOD = "#EXT-X-MEDIA-SEQUENCE:0\n#EXT-X-PLAYLIST-TYPE:VOD\n"
@@ -22,7 +24,7 @@ def _packed(segs: DataFrame) -> DataFrame:
 def render_media_manifest(segs: DataFrame, titles: DataFrame) -> DataFrame:
     """(title, text): a video manifest a title. ``titles``: (title, start_at, closed_gops)."""
     entries = F.transform(
-        "lines", lambda x: F.format_string("#EXTINF:%.6f,\nseg%d.m4s\n", x["secs"], x["n"])
+        "lines", lambda x: F.format_string("#EXTINF:%s,\nseg%d.m4s\n", fixed(x["secs"], 6), x["n"])
     )
     text = F.concat(
         F.lit(_HEAD.format(7)),
@@ -30,7 +32,7 @@ def render_media_manifest(segs: DataFrame, titles: DataFrame) -> DataFrame:
         F.lit(_VOD),
         F.when(_c("closed_gops"), _INDEPENDENT).otherwise(""),
         F.when(
-            _c("start_at") > 0, F.format_string("#EXT-X-START:TIME-OFFSET=%.3f,PRECISE=YES\n", _c("start_at"))
+            _c("start_at") > 0, F.format_string("#EXT-X-START:TIME-OFFSET=%s,PRECISE=YES\n", fixed(_c("start_at"), 3))
         ).otherwise(""),
         F.lit('#EXT-X-MAP:URI="init.mp4"\n'),
         F.array_join(entries, ""),
@@ -43,8 +45,8 @@ def render_subtitle_manifest(segs: DataFrame, rendition: Column, whole: Column)
     """(title, text): one document spanning the film, or one entry a segment."""
     rows = _packed(segs).withColumn("r", rendition).withColumn("whole", whole)
     length = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["secs"])
-    single = F.array(F.format_string("#EXTINF:%.6f,\nsub%d.vtt\n", length, _c("r")))
-    entries = F.transform("lines", lambda x: F.format_string("#EXTINF:%.6f,\nsub%d_%d.vtt\n", x["secs"], _c("r"), x["n"]))
+    single = F.array(F.format_string("#EXTINF:%s,\nsub%d.vtt\n", fixed(length, 6), _c("r")))
+    entries = F.transform("lines", lambda x: F.format_string("#EXTINF:%s,\nsub%d_%d.vtt\n", fixed(x["secs"], 6), _c("r"), x["n"]))
     target = F.when(_c("whole"), F.greatest(F.ceil(length), F.lit(1))).otherwise(_c("target"))
     text = F.concat(
         F.lit(_HEAD.format(3)),
@@ -88,7 +90,7 @@ def render_master_manifest(media: DataFrame) -> DataFrame:
         part(_c("supplemental").isNotNull(), F.concat(F.lit(',SUPPLEMENTAL-CODECS="'), _c("supplemental"), F.lit('"'))),
         part(_c("range").isNotNull(), F.concat(F.lit(",VIDEO-RANGE="), _c("range"))),
         part((_c("width") > 0) & (_c("height") > 0), F.format_string(",RESOLUTION=%dx%d", _c("width"), _c("height"))),
-        part((_c("frame_rate") > 0) & (_c("frame_rate") < 1000), F.format_string(",FRAME-RATE=%.3f", _c("frame_rate"))),
+        part((_c("frame_rate") > 0) & (_c("frame_rate") < 1000), F.concat(F.lit(",FRAME-RATE="), fixed(_c("frame_rate"), 3))),
         part(surround, ',AUDIO="audio"'),
         part(F.size("subtitles") > 0, ',SUBTITLES="subs"'),
         F.lit("\nmedia.m3u8\n"),
