@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bytes.
 HEAD_BYTES = 256 * 1024
@@ -31,7 +32,7 @@ def duplicates(df: DataFrame, key: Column, item: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _end_hash(content: pd.Series) -> pd.Series:
     import numpy as np
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Seconds, and the headroom on an average where a file has no byte index.
@@ -12,7 +13,13 @@ MAX_PREBUFFER = 10.0
 LONG_PREBUFFER = 30.0
 NO_INDEX_HEADROOM = 1.5
 
-@F.pandas_udf("stretch double, opening double, slopes array<double>, offsets array<double>")
+_LINES = T.ArrayType(T.DoubleType())
+_TERMS = (
+    T.StructType().add("stretch", "double").add("opening", "double").add("slopes", _LINES).add("offsets", _LINES)
+)
+
+
+@F.pandas_udf(_TERMS)
 def link_terms(
     starts: pd.Series, sizes: pd.Series, first: pd.Series, prebuffer: pd.Series, secs: pd.Series, cap: pd.Series
 ) -> pd.DataFrame:

@@ -207,6 +207,7 @@ def season_inputs(spark, sf):
         .where(_c("number") % 2 == 1)
         .select(_c("seq_id").alias("scan_id"), "group_id", _c("seq_id").alias("a"), "b")
     )
+    scans, kept = cut_lineage(scans), cut_lineage(kept)
     d = c.table(spark, sf, "documents").select(_c("doc_id").alias("seq_id"), (60 + _c("n_chars") * F.lit(0.05)).alias("duration"))
     return scans, d, halves.select("seq_id", "part", "pos", "point"), kept
 

@@ -11,6 +11,7 @@ from playlens.plans import carriers as c
 from playlens.plans.carriers import with_
 from playlens.plans.registry import query
 from playlens.plans.timeline import segments
+from playlens.session import cut_lineage
 
 _c = F.col
 
@@ -692,11 +693,12 @@ def chosen(spark, sf):
         held["bytes"].alias("buffer_bytes"),
         tl.effective_start(_c("start_at"), _c("duration")).alias("t"),
     )
-    segs = segments(spark, sf)
+    # A catalogue's segments are a small table next to its keyframes; planned and costed once, they are kept.
+    segs = cut_lineage(segments(spark, sf))
     starts = rows.select("title", "t").distinct()
     first = tl.segment_at(starts, segs, shift=tl.START_SLACK).withColumnRenamed("n", "first")
     rows = rows.join(first, ["title", "t"], "left")
-    costed = tl.segment_bytes(segs, c.byte_index(spark, sf)).where(_c("title") % 14 != 0)
+    costed = cut_lineage(tl.segment_bytes(segs, c.byte_index(spark, sf)).where(_c("title") % 14 != 0))
     needs = link.link_need(rows, costed).drop("timeline")
     full = rel.judge(needs.join(rel.probe_facts(c.media(spark, sf)), "release_id")).withColumn(
         "opens", _c("container").isin("matroska", "mp4") & (_c("video") != "mpeg4")

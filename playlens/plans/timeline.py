@@ -9,6 +9,7 @@ from playlens.operators.ordered import Scan, merge_intervals, scan
 from playlens.plans import carriers as c
 from playlens.plans.carriers import TARGET, with_
 from playlens.plans.registry import query
+from playlens.session import cut_lineage
 
 
 def segments(spark, sf):
@@ -303,7 +304,7 @@ def deliveries(spark, sf):
 
 
 def link_table(spark, sf):
-    segs = tl.segment_bytes(segments(spark, sf), c.byte_index(spark, sf))
+    segs = tl.segment_bytes(cut_lineage(segments(spark, sf)), c.byte_index(spark, sf))
     return link.link_rates(deliveries(spark, sf), segs)
 
 
@@ -341,7 +342,7 @@ def startup_delay(spark, sf):
         FROM stretch JOIN opening USING (title, player) JOIN delivery USING (title, player)""",
 )
 def link_need(spark, sf):
-    segs = tl.segment_bytes(segments(spark, sf), c.byte_index(spark, sf)).where(F.col("title") % 7 != 0)
+    segs = tl.segment_bytes(cut_lineage(segments(spark, sf)), c.byte_index(spark, sf)).where(F.col("title") % 7 != 0)
     out = link.link_need(deliveries(spark, sf), segs)
     return out.select(
         "title",
@@ -351,3 +352,15 @@ def link_need(spark, sf):
         F.round("prebuffer", 6).alias("prebuffer"),
         link.over_link(F.col("need"), F.col("rate")).alias("over_link"),
     )
+
+
+@query(
+    "session_demand",
+    with_("segbytes")
+    + """SELECT title, n, round(start, 3) AS start, cast(round(bytes * (1 + title % 3) * 1e9::DOUBLE / sum(bytes) OVER (PARTITION BY title)) AS bigint) AS bytes FROM segbytes""",
+)
+def session_demand(spark, sf):
+    """Each segment's start and bytes as a session sends them, from which a player can work out its own need."""
+    sizes = c.durations(spark, sf).select("title", ((1 + F.col("title") % 3) * F.lit(1e9)).alias("size"))
+    segs = tl.segment_bytes(cut_lineage(segments(spark, sf)), c.byte_index(spark, sf), sizes)
+    return segs.select("title", "n", F.round("start", 3).alias("start"), F.round("bytes").cast("bigint").alias("bytes"))
