@@ -482,18 +482,20 @@ def audio(spark, sf):
 def heard(spark, sf, base):
     """``base`` (request_id, release_id, player columns) with the audio each would get."""
     packed = choice.audio_tracks(audio(spark, sf))
-    tags = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    tags = lambda *xs: choice.wanted_tags(F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>"))
     k = _c("request_id") % 5
     prefs = (
         F.when(k == 0, tags("de")).when(k == 1, tags("fin", "fr")).when(k == 2, tags()).when(k == 3, tags("no", "eng"))
         .otherwise(tags("tlh-x", "de-CH", "en"))
     )
-    picked = base.join(packed, "release_id").withColumn("picked", choice.pick_audio(_c("tracks"), prefs))
+    # A handful of preference lists, put into canonical form as the literals they are.
+    asked = base.withColumn("wanted", prefs)
+    picked = asked.join(packed, "release_id").withColumn("picked", choice.pick_audio(_c("tracks"), _c("wanted")))
     track = F.get("tracks", _c("picked.idx"))
     return (
         picked.withColumn("track", track)
         .withColumn("plan", rel.audio_plan(_c("track.codec"), _c("track.channels")))
-        .drop("tracks")
+        .drop("tracks", "wanted")
     )
 
 

@@ -70,16 +70,16 @@ def test_reports(spark):
 
 
 def tracks(*rows):
-    t = "array<struct<idx:int,language:string,is_default:boolean,commentary:boolean>>"
-    return F.from_json(F.lit(__import__("json").dumps([dict(zip(("idx", "language", "is_default", "commentary"), r)) for r in rows])), t)
+    t = "array<struct<idx:int,lang:string,is_default:boolean,commentary:boolean>>"
+    return F.from_json(F.lit(__import__("json").dumps([dict(zip(("idx", "lang", "is_default", "commentary"), r)) for r in rows])), t)
 
 
 def test_pick_audio(spark):
-    t = tracks((0, "eng", False, True), (1, "ger", False, False), (2, "deu", True, False), (3, None, False, False))
-    prefs = lambda *p: F.array(*[F.lit(x) for x in p])
+    t = tracks((0, "en", False, True), (1, "de", False, False), (2, "de", True, False), (3, None, False, False))
+    prefs = lambda *p: choice.wanted_tags(F.array(*[F.lit(x) for x in p]))
     r = one(
         spark, a=choice.pick_audio(t, prefs("fi", "de-AT")), b=choice.pick_audio(t, prefs("en")), c=choice.pick_audio(t, prefs("de"), F.lit(3)),
-        d=choice.pick_audio(tracks((0, "eng", True, True)), prefs("en")),
+        d=choice.pick_audio(tracks((0, "en", True, True)), prefs("en")),
     )
     assert tuple(r.a) == (2, "preferred language de")
     assert tuple(r.b) == (2, "original language")
