@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlens.operators.ordered import Scan, asof, merge_intervals, scan
+from playlens.operators.ordered import Scan, asof, merge_intervals, overlap_join, scan
 
 # Seconds.
 TARGET_SECS = 6.0
@@ -284,16 +284,28 @@ def covered(windows: DataFrame, coverage: DataFrame, tol: float = SNAP, width: f
 def gop_starts(gops: DataFrame, keyframes: DataFrame) -> DataFrame:
     """(title, job, idx, start): each GOP starts where the one before ended, put onto a real keyframe.
 
-    The correction feeds the next row, so this is an ordered fold, one job per group. A job's keyframes travel with
-    it as an array; both are as many as a film has keyframes.
+    The correction feeds the next row, so this is an ordered fold, one job a row. Only the keyframes that its GOPs can
+    reach travel with a job, found by an interval join: a long title's others stay where they are.
     """
     import numpy as np
     import pandas as pd
 
-    arrays = keyframes.groupBy("title").agg(F.array_sort(F.collect_list("t")).alias("keyframes"))
     heads = gops.groupBy("title", "job", "job_start").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "dur"))).alias("gops")
+        F.array_sort(F.collect_list(F.struct("idx", "dur"))).alias("gops"),
+        # Each GOP may be moved by up to the snap.
+        (F.sum("dur") + (F.count("*") + 1) * F.lit(SNAP)).alias("reach"),
     )
+    spans = heads.select(
+        "title",
+        "job",
+        (F.col("job_start") - F.lit(SNAP)).alias("lo"),
+        (F.col("job_start") + F.col("reach")).alias("hi"),
+    )
+    t = F.col("t")
+    near_keys = overlap_join(
+        spans, keyframes.select("title", "t"), ["title"], (F.col("lo"), F.col("hi")), (t, t + F.lit(CUT_SLACK)), CHUNK_SECS
+    )
+    arrays = near_keys.groupBy("title", "job").agg(F.array_sort(F.collect_list("t")).alias("keyframes"))
 
     def fold(batches):
         for pdf in batches:
@@ -308,7 +320,7 @@ def gop_starts(gops: DataFrame, keyframes: DataFrame) -> DataFrame:
                     at = start + g["dur"]
             yield pd.DataFrame(out, columns=["title", "job", "idx", "start"])
 
-    return heads.join(arrays, "title", "left").mapInPandas(
+    return heads.join(arrays, ["title", "job"], "left").mapInPandas(
         fold, "title bigint, job bigint, idx bigint, start double"
     )
 
