@@ -240,9 +240,9 @@ def rewrite_origins(spark, sf):
 
 # ---- logs ---------------------------------------------------------------------------------------------------------
 
-_LINE = f"""concat(CASE event_id % 3 WHEN 0 THEN 'GET' ELSE 'POST' END, ' /play/', event_type, ' ', cast(200 + event_id % 5 as varchar(4)), ' ', {_U}, 'ms', CASE WHEN event_id % 2 = 0 THEN concat(' rid=r', cast(event_id % 50 as varchar(9))) ELSE '' END,
+_LINE = f"""concat(CASE event_id % 3 WHEN 0 THEN 'GET' ELSE 'POST' END, ' /play/', event_type, ' ', cast(200 + event_id % 5 as varchar(4)), ' ', {_U}, 'ms', CASE WHEN event_id % 2 = 0 THEN concat(' rid=r', cast(cast(floor(event_id / 4) as bigint) as varchar(20))) ELSE '' END,
     CASE WHEN event_id % 5 = 0 THEN concat(' session=s', {_U}) ELSE '' END, CASE WHEN event_id % 23 = 0 THEN ' junk' ELSE '' END)"""
-_EVENT = f"""concat('session s', {_U}, ': event=session outcome=ended reason=', CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'replacement never played' ELSE 'deleted' END, CASE WHEN event_id % 4 = 0 THEN concat(' rid=r', cast(event_id % 50 as varchar(9))) ELSE '' END,
+_EVENT = f"""concat('session s', {_U}, ': event=session outcome=ended reason=', CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'replacement never played' ELSE 'deleted' END, CASE WHEN event_id % 4 = 0 THEN concat(' rid=r', cast(cast(floor(event_id / 4) as bigint) as varchar(20))) ELSE '' END,
     ' session=s', {_U}, ' audio_codec=ac-3 subtitle=', CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'none' END, ' transcoded=no segments=', {_N}, ' seconds=', {_U}, '.5')"""
 
 
@@ -258,7 +258,7 @@ def access_log(spark, sf):
 
 @query(
     "event_lines",
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'replacement never played' ELSE 'deleted' END AS reason, CASE WHEN event_id % 4 = 0 THEN 'r' || event_id % 50 END AS rid, 's' || user_id AS session,
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'replacement never played' ELSE 'deleted' END AS reason, CASE WHEN event_id % 4 = 0 THEN 'r' || event_id // 4 END AS rid, 's' || user_id AS session,
         CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'none' END AS subtitle, event_id::VARCHAR AS segments, user_id || '.5' AS seconds FROM events""",
 )
 def event_lines(spark, sf):
@@ -268,15 +268,14 @@ def event_lines(spark, sf):
 
 @query(
     "correlate_logs",
-    f"""WITH a AS (SELECT epoch_us(ts) AS t, event_id, {_LINE} AS line, CASE WHEN event_id % 2 = 0 THEN 'r' || event_id % 50 END AS rid, CASE WHEN event_id % 5 = 0 THEN 's' || user_id END AS session FROM events WHERE event_id % 23 <> 0
-        AND user_id % 10 = 0), s AS (SELECT epoch_us(ts) AS t, {_EVENT} AS line, CASE WHEN event_id % 4 = 0 THEN 'r' || event_id % 50 END AS rid, 's' || user_id AS session FROM events WHERE event_type = 'signup'),
+    f"""WITH a AS (SELECT epoch_us(ts) AS t, event_id, {_LINE} AS line, CASE WHEN event_id % 2 = 0 THEN 'r' || event_id // 4 END AS rid, CASE WHEN event_id % 5 = 0 THEN 's' || user_id END AS session FROM events WHERE event_id % 23 <> 0), s AS (SELECT epoch_us(ts) AS t, {_EVENT} AS line, CASE WHEN event_id % 4 = 0 THEN 'r' || event_id // 4 END AS rid, 's' || user_id AS session FROM events),
         ids AS (SELECT DISTINCT session, rid FROM s WHERE rid IS NOT NULL), x AS (SELECT session, t, line FROM a WHERE session IS NOT NULL UNION SELECT i.session, t, line FROM a JOIN ids i USING (rid)), y AS (SELECT * FROM x UNION ALL SELECT session, t, line FROM s)
         SELECT session, count(*) AS lines, min(t) AS first, max(t) AS last FROM y GROUP BY session""",
 )
 def correlate_logs(spark, sf):
     ev = c.table(spark, sf, "events").withColumn("at", c.micros("ts"))
-    access = rd.parse_access_log(ev.where(_c("user_id") % 10 == 0).select("at", F.expr(_LINE).alias("line"))).select("at", "rid", "session", "line")
-    own = rd.parse_event_lines(ev.where(_c("event_type") == "signup").select("at", F.expr(_EVENT).alias("line"))).select("at", "rid", "session", "line")
+    access = rd.parse_access_log(ev.select("at", F.expr(_LINE).alias("line"))).select("at", "rid", "session", "line")
+    own = rd.parse_event_lines(ev.select("at", F.expr(_EVENT).alias("line"))).select("at", "rid", "session", "line")
     return se.correlate_logs(access, own).groupBy("session").agg(F.count("*").alias("lines"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
