@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import exact, packing, warc
+from playlens.llm import decontaminate, exact, packing, quality, simhash, warc
 from playlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_simhash")
+def op2(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op7_warc_revisits",
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -48,3 +58,9 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
