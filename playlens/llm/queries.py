@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import decontaminate, exact, extract, packing, quality, simhash, warc
+from playlens.llm import decontaminate, exact, extract, packing, pii, quality, simhash, warc
 from playlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_personal_data")
+def op5(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op6_html_text")
 def op6(spark, sf_dir):
     return extract.extracted(table(spark, sf_dir, "pages"))
