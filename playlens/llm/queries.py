@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import decontaminate, exact, extract, ngram_lm, packing, pii, quality, simhash, warc
+from playlens.llm import decontaminate, exact, extract, ngram_lm, packing, pii, quality, repeats, simhash, warc
 from playlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_repeated_passages")
+def op3(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op4_deleted_interpolation")
 def op4(spark, sf_dir):
     return ngram_lm.scores(table(spark, sf_dir, "documents"))
