@@ -13,6 +13,8 @@ empty text has no spans. Rows that repeat id and text get equal results; a null
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playlens.llm.common import store, text_of
@@ -34,6 +36,7 @@ _TRIGGERS = ("@", "[.]", "[0-9]", "[+]", "[0-9]")
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
 MIN_LENGTH, MIN_DIGITS, CONTEXT = 6, 4, 80
 CHUNK = 256
+PATTERN_BLOCK = 1_000_000
 
 _LUHN = """aggregate(sequence(1, length(d)), 0, (acc, i) -> acc + CASE WHEN (length(d) - i) % 2 = 0 THEN int(substring(d, i, 1))
     ELSE 2 * int(substring(d, i, 1)) - 9 * int(int(substring(d, i, 1)) > 4) END) % 10 = 0"""
@@ -103,18 +106,25 @@ def occurrences(found: DataFrame) -> DataFrame:
     return rows.filter(free).select("key", "kind", "start", "finish", "value", pattern.alias("pattern")).filter("length(pattern) > 1")
 
 
-def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, total): how often each of ``patterns`` stands anywhere in the corpus, a word or an identifier behind it."""
+def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text", block: int = PATTERN_BLOCK) -> DataFrame:
+    """(pattern, total): how often each of ``patterns`` (stored) stands anywhere in the corpus, whatever is behind it.
+
+    Patterns are hashed and held against every pair of words in blocks of at most about ``block``, each broadcast; no pair
+    of words is shuffled before it is known to be a pattern and counted.
+    """
+    keyed = patterns.withColumn("pair", F.xxhash64("pattern"))
     words = docs.select(F.split(F.lower(text_of(text_col)), r"\s+").alias("w"))
-    pairs = words.filter(F.size("w") > 1).select(F.inline(F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))")))
-    pairs = pairs.toDF("one", "two").select(F.concat_ws(" ", "one", "two").alias("pattern"))
-    return pairs.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    pairs = words.filter(F.size("w") > 1).select(F.inline(F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))"))).toDF("one", "two")
+    pairs = pairs.select(F.xxhash64(F.concat_ws(" ", "one", "two")).alias("pair"))
+    blocks = -(-patterns.count() // block) or 1
+    counts = [pairs.join(F.broadcast(keyed.filter(F.pmod("pair", F.lit(blocks)) == b).select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("total")) for b in range(blocks)]
+    return keyed.join(reduce(DataFrame.unionByName, counts), "pair").drop("pair")
 
 
 def bootstrap(docs: DataFrame, seen: DataFrame, text_col: str = "text", rounds: int = ROUNDS, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(pattern, kind, score): the patterns that are trusted after the last round, with the kind that each predicts."""
     edges = store(seen.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    fit = edges.groupBy("pattern").agg(F.count_distinct("value").alias("support")).filter(F.col("support") >= support).select("pattern")
+    fit = store(edges.groupBy("pattern").agg(F.count_distinct("value").alias("support")).filter(F.col("support") >= support).select("pattern"), "pii-fit")
     # Only patterns that some seed supports can be reached in the first round; others need a value that an earlier one found.
     totals = store(pattern_counts(docs, fit, text_col), "pii-totals")
     edges = store(edges.join(totals, "pattern"), "pii-graph")
