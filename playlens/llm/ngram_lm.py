@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 7, 2
 SLICE = 20
 #: What a block's documents are for: counts, held-out counts of the weights, or scores only.
 TRAIN, TUNE, TEST = 0, 1, 2
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 BUCKET_KEYS = 2_000_000
 LEVELS = 24
 UNIGRAM, BIGRAM = 1, 2
