@@ -133,7 +133,7 @@ def _hits(shared: Broadcast, rate: float, text: Column) -> Column:
         block = _block(shared, rate)
         return pd.Series([[{"item_id": i, "edits": e, "place": p} for i, e, p in block.search(t)] for t in texts])
 
-    return F.pandas_udf(run, _HITS)(text)
+    return F.pandas_udf(run, _HITS).asNondeterministic()(text)  # else the optimizer repeats it in a filter of its own
 
 
 def hits_of(benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> Column:
