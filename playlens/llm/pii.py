@@ -158,7 +158,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fresh = seen.filter(F.col("kind") == CANDIDATE).drop("kind").join(trusted.select("pattern", "kind"), "pattern")
     added = fresh.groupBy("key").agg(F.collect_set(F.struct("start", F.col("kind").cast("int").alias("kind"), "finish")).alias("added"))
     rows = found.drop("seen").join(added, "key", "left")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT) AS n_{name}") for k, name in enumerate(KINDS)]
     every = F.sort_array(F.concat("base", F.coalesce("added", F.expr("slice(base, 1, 0)"))))
     return rows.select(
         "doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_found")
