@@ -108,7 +108,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     rank, width = np.zeros(n, np.int64), 7
     for i in range(width):  # seven symbols of nine bits fit at once
         rank <<= 9
-        rank[: n - i] |= text[i:]
+        rank[: max(n - i, 0)] |= text[i:]
     order = np.argsort(rank)
     key = rank[order]
     rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
