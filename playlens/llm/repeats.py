@@ -305,7 +305,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = parts(docs.sparkSession)
     segments = store(rows.mapInPandas(_segments(length), _SEGMENT), "segments")
     met = segments.groupBy("meeting").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    hits = store(segments.join(met.select("meeting", (F.col("low") != F.col("high")).alias("mixed")), "meeting"), "segments-met")
+    # Stored first: a join of two plain tables can be split where one meeting has very many rows.
+    met = store(met.select("meeting", (F.col("low") != F.col("high")).alias("mixed")), "meetings")
+    hits = store(segments.join(met, "meeting"), "segments-met")
     kinds = store(hits.filter("mixed").groupBy("meeting", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "ref")).alias("one")), "segment-kinds")
     groups = kinds.groupBy("meeting").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("least = 1")
     judged = kinds.join(groups, "meeting").select("one.doc_id", "one.ref", F.lit(True).alias("judged"), (F.col("copies") == 1).alias("solo"), (F.col("kinds") > group).alias("large"))
