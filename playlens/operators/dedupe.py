@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Bytes.
-HEAD_BYTES = 256 * 1024
 HASH_CHUNK = 64 * 1024
 
 _c = F.col
 
 
 def content_key(content: Column) -> Column:
-    """``<size>:<sha256 of the first 256 KiB>``, null for an empty file."""
+    """``<size>:<sha256 of the whole content>``, null for an empty file."""
     size = F.octet_length(content)
-    head = F.substring(content.cast("binary"), 1, HEAD_BYTES)
-    return F.when(size > 0, F.concat(size.cast("string"), F.lit(":"), F.sha2(head, 256)))
+    return F.when(size > 0, F.concat(size.cast("string"), F.lit(":"), F.sha2(content.cast("binary"), 256)))
 
 
 def duplicates(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -49,5 +47,8 @@ def _end_hash(content: pd.Series) -> pd.Series:
 
 
 def end_hash(files: DataFrame) -> DataFrame:
-    """(path, length, hash): size and the words of both ends, mod 2^64. ``files`` as ``binaryFile`` reads them."""
-    return files.select("path", "length", _end_hash("content").alias("hash"))
+    """(path, length, hash): size and the words of both ends, mod 2^64. ``files`` as ``binaryFile`` reads them.
+
+    A file shorter than one end has no such hash and gets the key of its whole content instead.
+    """
+    return files.select("path", "length", F.coalesce(_end_hash("content"), content_key(_c("content"))).alias("hash"))

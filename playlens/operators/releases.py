@@ -18,8 +18,6 @@ LEFT_OUT = (
     ".flv", ".rm", ".rmvb", ".divx", ".ogm", ".ogv", ".webm",
 )
 UNPLAYABLE_TTL = 7 * 24 * 3600
-MAX_TRIES = 12
-PARALLEL_OPENS = 3
 
 COPY, CONVERT, NEVER = "copy", "convert", "never"
 FIT_RANK = {COPY: 0, CONVERT: 1, NEVER: 2}

@@ -23,7 +23,6 @@ SPEED_TESTS_PER_SESSION = 2
 LOG_EVERY = 60
 REPLACE_GRACE = 60
 VERDICT_TTL = 7 * 86400
-VERDICT_MAX = 10_000
 
 DAY = 86400
 _c = F.col
@@ -216,13 +215,13 @@ def newest_per_owner(sessions: DataFrame, share: int) -> DataFrame:
     return flagged.select(*sessions.columns, F.when(_c("__kept"), "kept").otherwise("replaced").alias("fate"))
 
 
-def latest_verdicts(found: DataFrame, now: int, ttl: int | None = VERDICT_TTL, cap: int = VERDICT_MAX) -> DataFrame:
-    """The latest verdict of each key, still young, the newest ``cap`` of them. ``found``: (key, at, id, why)."""
+def latest_verdicts(found: DataFrame, now: int, ttl: int | None = VERDICT_TTL, cap: int | None = None) -> DataFrame:
+    """The latest verdict of each key, still young; only the newest ``cap`` of them if that is given. ``found``: (key, at, id, why)."""
     latest = found.groupBy("key").agg(F.max(F.struct("at", "id", "why")).alias("v"))
     rows = latest.select("key", _c("v.at").alias("at"), _c("v.why").alias("why"))
     if ttl is not None:
         rows = rows.where(F.lit(now) - _c("at") < ttl)
-    return rows.orderBy(_c("at").desc(), "key").limit(cap)
+    return rows if cap is None else rows.orderBy(_c("at").desc(), "key").limit(cap)
 
 
 def longest_idle(jobs: DataFrame, min_idle: float) -> DataFrame:

@@ -443,9 +443,9 @@ _AUDIO = {
         JOIN rel e USING (title_id) JOIN tracks t USING (release_id) LEFT JOIN langs USING (language)
         LEFT JOIN prefs p ON p.request_id = r.request_id AND p.lang = canon WHERE NOT commentary""",
     "picked": """SELECT request_id, release_id, arg_min(idx, (pos, NOT is_default, idx)) AS idx, arg_min(CASE WHEN lang IS NOT NULL
-        THEN 'preferred language ' || lang WHEN is_default THEN 'original language' ELSE 'first' END, (pos, NOT is_default, idx)) AS reason
+        THEN 'asked for: ' || lang WHEN is_default THEN 'default flag' ELSE 'lowest index' END, (pos, NOT is_default, idx)) AS reason
         FROM heard GROUP BY ALL""",
-    "audio_choice": """SELECT r.request_id, e.release_id, coalesce(p.idx, 0) AS idx, coalesce(p.reason, 'first') AS reason FROM requests r
+    "audio_choice": """SELECT r.request_id, e.release_id, coalesce(p.idx, 0) AS idx, coalesce(p.reason, 'lowest index') AS reason FROM requests r
         JOIN rel e USING (title_id) LEFT JOIN picked p ON p.request_id = r.request_id AND p.release_id = e.release_id""",
     "planned": f"""SELECT a.*, t.codec, t.bytes, t.channels AS channels, {_PLAN} AS copied, p.*, r.title_id FROM audio_choice a
         JOIN requests r USING (request_id) JOIN tracks t ON t.release_id = a.release_id AND t.idx = a.idx
@@ -642,10 +642,9 @@ _NEEDS = {
 _CHOICE = {
     "outc": """SELECT *, CASE WHEN container NOT IN ('matroska', 'mp4') OR video = 'mpeg4' THEN 'failed' WHEN no_picture THEN 'blank'
         WHEN NOT plays AND video = 'hevc' THEN 'fallback' WHEN NOT plays THEN 'beyond' WHEN coalesce(need > max_bitrate, false) THEN 'too_big'
-        ELSE 'fits' END AS outcome FROM judged WHERE rank <= 12""",
-    "o2": "SELECT *, min(rank) FILTER (WHERE outcome = 'fallback') OVER (PARTITION BY request_id) AS fb FROM outc",
+        ELSE 'fits' END AS outcome FROM judged""",
     "o3": """SELECT *, min(rank) FILTER (WHERE outcome = 'fits' OR (named AND outcome IN ('fallback', 'too_big'))) OVER (PARTITION BY request_id)
-        AS stop FROM o2 WHERE fit <> 'convert' OR fb IS NULL OR rank < fb + 3""",
+        AS stop FROM outc""",
     "o4": "SELECT * FROM o3 WHERE stop IS NULL OR rank <= stop",
     "lad": """SELECT player_id, CASE WHEN max_bitrate IS NULL THEN 8000000 WHEN least(8000000, f) >= 4000000 THEN least(8000000, f)
         WHEN least(3000000, f) >= 2000000 THEN least(3000000, f) WHEN least(1500000, f) >= 1000000 THEN least(1500000, f) END AS rate,

@@ -157,12 +157,12 @@ def scrub_logs(spark, sf):
         SELECT doc_id, message, substr(replace(message, ' ', '_'), 1, 40) AS word FROM m""",
 )
 def player_messages(spark, sf):
-    return c.table(spark, sf, "documents").select("doc_id", tx.player_message(_c("text")).alias("message"), tx.word(_c("text")).alias("word"))
+    return c.table(spark, sf, "documents").select("doc_id", tx.player_message(_c("text"), 400, 160).alias("message"), tx.word(_c("text"), 400, 40).alias("word"))
 
 
 @query(
     "request_ids",
-    """SELECT page_id, nullif(substr(regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g'), 1, 32), '') AS rid, 'install:' || substr(sha256(url), 1, 16) AS owner FROM pages""",
+    """SELECT page_id, nullif(regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g'), '') AS rid, 'install:' || substr(sha256(url), 1, 16) AS owner FROM pages""",
 )
 def request_ids(spark, sf):
     return c.table(spark, sf, "pages").select("page_id", tx.request_id(_c("url")).alias("rid"), tx.owner_id(_c("url")).alias("owner"))
@@ -206,8 +206,8 @@ _SCOPED = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN upper(regexp_extract(url
 @query(
     "check_scoped_urls",
     f"""WITH s AS (SELECT page_id, {_SCOPED} AS u FROM pages), a AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://[^/]+', 0)) AS o FROM pages WHERE url LIKE 'https%'), x AS (SELECT *, {_ORIGIN} AS o,
-        CASE WHEN contains(u, '?') OR contains(u, '#') THEN 'a query or fragment' WHEN contains(split_part(substr(u, position('://' IN u) + 3), '/', 1), '@') THEN 'credentials in the URL'
-        WHEN {_ORIGIN} NOT IN (SELECT o FROM a) THEN 'an origin not allowed' WHEN NOT regexp_full_match(regexp_replace(u, '^[^:]+://[^/]+/', ''), '[A-Za-z0-9_-]+') THEN 'not a single config segment' END AS refused FROM s)
+        CASE WHEN contains(u, '?') OR contains(u, '#') THEN 'has ? or #' WHEN contains(split_part(substr(u, position('://' IN u) + 3), '/', 1), '@') THEN 'user part present'
+        WHEN {_ORIGIN} NOT IN (SELECT o FROM a) THEN 'origin unknown' WHEN NOT regexp_full_match(regexp_replace(u, '^[^:]+://[^/]+/', ''), '[A-Za-z0-9_-]+') THEN 'path not one plain word' END AS refused FROM s)
         SELECT page_id, refused, CASE WHEN refused IS NULL THEN o || '/' || regexp_replace(u, '^[^:]+://[^/]+/', '') END AS url FROM x""",
 )
 def check_scoped_urls(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from playlens.plans.carriers import with_
 from playlens.plans.registry import query
 from playlens.plans.reports import _BODY, _SQL, _num
-from playlens.plans.sessions import _GAP, _PLAY
+from playlens.plans.sessions import _GAP, _PLAY, playback
 from playlens.session import utc
 from playlens.streaming import jobs
 
@@ -86,14 +86,14 @@ def stream_metrics(spark, sf):
     return jobs.stream_metrics(events(spark, sf), "event")
 
 
-_CLOSED = 3 * 86400 * 1000000
+_CLOSED = 7 * 3600 * 1000000  # the watermark's hour and the six hours of grace
 
 
 @query(
     "stream_replacements",
     with_(
         p=_PLAY,
-        w=_WM.format(_CLOSED),
+        w=f"SELECT min(m) - {_CLOSED} AS wm FROM (SELECT max(us) // 1000 * 1000 AS m FROM p WHERE event IN ('request', 'segment') GROUP BY event)",
         s="""SELECT a.owner, a.event_id AS start_id, a.us, (SELECT min(b.us) FROM p b WHERE b.owner = a.owner AND b.event = 'segment' AND b.us BETWEEN a.us AND a.us + 21600000000) AS f
             FROM p a WHERE a.event = 'request'""",
     )
@@ -103,8 +103,9 @@ def stream_replacements(spark, sf):
     starts = events(spark, sf).where(_c("event") == "request").select("owner", _c("event_id").alias("start_id"), _c("ts").alias("started"))
     served = events(spark, sf).where(_c("event") == "segment").select("owner", _c("ts").alias("served"))
     out = jobs.stream_replacements(starts, served, "6 hours", "1 hour")
-    # Compared on time that both watermarks have left behind.
-    closed = utc(spark).read.parquet(f"{sf}/events.parquet").agg((F.max(F.unix_millis(_c("ts").cast("timestamp"))) * 1000 - _CLOSED).alias("wm"))
+    # Compared on time that the watermarks of both streams have left behind.
+    latest = playback(spark, sf).where(_c("event").isin("request", "segment")).groupBy("event").agg(F.max("us").alias("us"))
+    closed = latest.agg((F.min(F.floor(_c("us") / 1000)) * 1000 - _CLOSED).alias("wm"))
     us = F.unix_micros("started")
     return out.join(F.broadcast(closed), us < _c("wm")).select(
         "owner", "start_id", F.when(_c("first_served").isNull(), "abandoned").otherwise("kept").alias("fate"),

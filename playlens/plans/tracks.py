@@ -136,16 +136,15 @@ _PLAN = {
     "cand": """SELECT p.release_id, p.lang, o.idx AS own, q.asks AND (o.idx IS NOT NULL OR b.pos IS NOT NULL) AS download, 0 AS grp, place, 0 AS f FROM pref p JOIN req q USING (release_id)
         LEFT JOIN own o ON o.release_id = p.release_id AND o.lang = p.lang LEFT JOIN bl b ON b.release_id = p.release_id AND b.lang = p.lang
         UNION ALL SELECT o.release_id, o.lang, o.idx, false, 1, (9, 9), first_idx FROM own o WHERE NOT EXISTS (SELECT 1 FROM pref p WHERE p.release_id = o.release_id AND p.lang = o.lang)""",
-    "plan": """SELECT * FROM (SELECT release_id, lang, own, download, row_number() OVER (PARTITION BY release_id ORDER BY grp, place, f) - 1 AS slot FROM cand
-        WHERE download OR own IS NOT NULL) WHERE slot < 4""",
+    "plan": """SELECT release_id, lang, own, download, row_number() OVER (PARTITION BY release_id ORDER BY grp, place, f) - 1 AS slot FROM cand
+        WHERE download OR own IS NOT NULL""",
 }
-_CAP = 4  # fewer than the eight of a real session, so that the documents' few languages meet it
 
 
 @query("plan_subtitles", with_(**_PLAN) + "SELECT release_id, slot, lang, own, download FROM plan")
 def plan_subtitles(spark, sf):
     own = tr.best_own_subtitles(tracks(spark, sf))
-    return tr.plan_subtitles(sessions(spark, sf), own, listed(spark, sf), _CAP).select("release_id", "slot", "lang", "own", "download")
+    return tr.plan_subtitles(sessions(spark, sf), own, listed(spark, sf)).select("release_id", "slot", "lang", "own", "download")
 
 
 @query(
@@ -158,7 +157,7 @@ def plan_subtitles(spark, sf):
 def explain_subtitles(spark, sf):
     t, s = tracks(spark, sf), sessions(spark, sf)
     own = tr.best_own_subtitles(t)
-    plan = tr.plan_subtitles(s, own, listed(spark, sf), _CAP)
+    plan = tr.plan_subtitles(s, own, listed(spark, sf))
     return tr.explain_subtitles(s, t, own, plan).select("release_id", "idx", "lang", "reason")
 
 
@@ -166,7 +165,7 @@ def explain_subtitles(spark, sf):
     "first_success",
     """WITH a AS (SELECT user_id * 100000 + event_id // 64 AS key, row_number() OVER (PARTITION BY user_id, event_id // 64 ORDER BY event_id) - 1 AS rank,
         CASE event_type WHEN 'purchase' THEN 'found' WHEN 'click' THEN 'sparse' WHEN 'view' THEN 'sparse' ELSE 'refused' END AS outcome,
-        event_id % 2 = 0 AS again FROM events), t AS (SELECT *, outcome = 'sparse' AND again AS retried FROM a WHERE rank < 3)
+        event_id % 2 = 0 AS again FROM events), t AS (SELECT *, outcome = 'sparse' AND again AS retried FROM a)
         SELECT key, CASE WHEN count(*) FILTER (WHERE outcome = 'found') > 0 THEN min(rank) FILTER (WHERE outcome = 'found') ELSE min(rank) FILTER (WHERE retried) END AS rank,
         CASE WHEN count(*) FILTER (WHERE outcome = 'found') > 0 THEN false WHEN count(*) FILTER (WHERE retried) > 0 THEN true END AS retried FROM t GROUP BY key""",
 )

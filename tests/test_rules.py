@@ -81,9 +81,9 @@ def test_pick_audio(spark):
         spark, a=choice.pick_audio(t, prefs("fi", "de-AT")), b=choice.pick_audio(t, prefs("en")), c=choice.pick_audio(t, prefs("de"), F.lit(3)),
         d=choice.pick_audio(tracks((0, "en", True, True)), prefs("en")),
     )
-    assert tuple(r.a) == (2, "preferred language de")
-    assert tuple(r.b) == (2, "original language")
-    assert tuple(r.c) == (3, "named by the player")
+    assert tuple(r.a) == (2, "asked for: de")
+    assert tuple(r.b) == (2, "default flag")
+    assert tuple(r.c) == (3, "explicit index")
     assert tuple(r.d) == (0, "first")
 
 
