@@ -37,6 +37,7 @@ MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.5, 3
 MIN_LENGTH, MIN_DIGITS, CONTEXT = 6, 4, 80
 CHUNK = 256
 PATTERN_BLOCK = 1_000_000
+PART = 10
 
 _LUHN = """aggregate(sequence(1, length(d)), 0, (acc, i) -> acc + CASE WHEN (length(d) - i) % 2 = 0 THEN int(substring(d, i, 1))
     ELSE 2 * int(substring(d, i, 1)) - 9 * int(int(substring(d, i, 1)) > 4) END) % 10 = 0"""
@@ -106,27 +107,40 @@ def occurrences(found: DataFrame) -> DataFrame:
     return rows.filter(free).select("key", "kind", "start", "finish", "value", pattern.alias("pattern")).filter("length(pattern) > 1")
 
 
-def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text", block: int = PATTERN_BLOCK) -> DataFrame:
-    """(pattern, total): how often each of ``patterns`` (stored) stands anywhere in the corpus, whatever is behind it.
+def _pairs(docs: DataFrame, patterns: DataFrame, text_col: str, share: int, block: int) -> DataFrame:
+    """(pair, total): the hashed pairs of words of ``patterns`` (pair) in the texts, or in one of ``share`` parts of them.
 
-    Patterns are hashed and held against every pair of words in blocks of at most about ``block``, each broadcast; no pair
-    of words is shuffled before it is known to be a pattern and counted.
+    Patterns are held against the texts in blocks of at most about ``block``, each broadcast; no pair of words is shuffled
+    before it is known to be a pattern and counted.
     """
-    keyed = patterns.withColumn("pair", F.xxhash64("pattern"))
-    words = docs.select(F.split(F.lower(text_of(text_col)), r"\s+").alias("w"))
-    pairs = words.filter(F.size("w") > 1).select(F.inline(F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))"))).toDF("one", "two")
+    text = text_of(text_col)
+    rows = docs if share == 1 else docs.filter(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
+    words = rows.select(F.split(F.lower(text), r"\s+").alias("w")).filter(F.size("w") > 1)
+    pairs = words.select(F.inline(F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))"))).toDF("one", "two")
     pairs = pairs.select(F.xxhash64(F.concat_ws(" ", "one", "two")).alias("pair"))
     blocks = -(-patterns.count() // block) or 1
-    counts = [pairs.join(F.broadcast(keyed.filter(F.pmod("pair", F.lit(blocks)) == b).select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("total")) for b in range(blocks)]
-    return keyed.join(reduce(DataFrame.unionByName, counts), "pair").drop("pair")
+    counts = [pairs.join(F.broadcast(patterns.filter(F.pmod("pair", F.lit(blocks)) == b).select("pair").distinct()), "pair", "left_semi").groupBy("pair").agg(F.count("*").alias("total")) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text", confidence: float = MIN_CONFIDENCE, block: int = PATTERN_BLOCK) -> DataFrame:
+    """(pattern, total): how often those of ``patterns`` (pattern, n) that can be trusted stand anywhere in the corpus.
+
+    n places with an identifier behind a pattern can't make it trusted if it stands in over n / confidence places. A tenth
+    of the texts shows that of common pairs already; the others are counted in all texts.
+    """
+    keyed = store(patterns.withColumn("pair", F.xxhash64("pattern")), "pii-pairs")
+    some = _pairs(docs, keyed, text_col, PART, block)
+    rare = store(keyed.join(some, "pair", "left").filter(F.coalesce("total", F.lit(0)) * confidence <= F.col("n")).drop("total"), "pii-rare")
+    return rare.join(_pairs(docs, rare, text_col, 1, block), "pair").select("pattern", "total")
 
 
 def bootstrap(docs: DataFrame, seen: DataFrame, text_col: str = "text", rounds: int = ROUNDS, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(pattern, kind, score): the patterns that are trusted after the last round, with the kind that each predicts."""
     edges = store(seen.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    fit = store(edges.groupBy("pattern").agg(F.count_distinct("value").alias("support")).filter(F.col("support") >= support).select("pattern"), "pii-fit")
+    fit = store(edges.groupBy("pattern").agg(F.count_distinct("value").alias("support"), F.sum("n").alias("n")).filter(F.col("support") >= support).select("pattern", "n"), "pii-fit")
     # Only patterns that some seed supports can be reached in the first round; others need a value that an earlier one found.
-    totals = store(pattern_counts(docs, fit, text_col), "pii-totals")
+    totals = store(pattern_counts(docs, fit, text_col, confidence), "pii-totals")
     edges = store(edges.join(totals, "pattern"), "pii-graph")
     seeds = edges.filter(F.col("kind") < CANDIDATE).groupBy("value").agg(F.min("kind").alias("label")).withColumn("weight", F.lit(1.0))
     instances, patterns = seeds, None
