@@ -41,16 +41,20 @@ def elements(v: Column, path: str) -> Column:
 
 
 def parse_reports(df: DataFrame, body: str = "body") -> DataFrame:
-    """``df`` with ``code``, ``message`` and ``stats`` (variant), only the rows that are reports."""
-    v = F.try_parse_json(body)
+    """``df`` with ``code``, ``message`` and ``stats`` (variant), only the rows that are reports.
+
+    The parse and the three fields each stand behind a one-row ``explode``: filters and projections over them can't be
+    pushed through it, so that a body is parsed once however often its fields are asked for.
+    """
+    parsed = df.select(*df.columns, F.explode(F.array(F.try_parse_json(body))).alias("__v"))
     code = F.when(_type(_c("__v"), "$.code") == "BIGINT", F.try_variant_get(_c("__v"), "$.code", "bigint"))
-    whole = df.withColumn("__v", v).where(_type(_c("__v"), "$").startswith("OBJECT"))
-    read = whole.select(
-        *df.columns,
+    whole = parsed.where(_type(_c("__v"), "$").startswith("OBJECT"))
+    fields = F.struct(
         F.when(code >= 0, F.least(code, F.lit(MAX_CODE))).alias("__code"),
         text(_c("__v"), "$.message").alias("__message"),
         F.when(_type(_c("__v"), "$.stats").startswith("OBJECT"), F.try_variant_get(_c("__v"), "$.stats", "variant")).alias("stats"),
     )
+    read = whole.select(*df.columns, F.inline(F.array(fields)))
     both = _c("__code").isNotNull() & _c("__message").isNotNull()
     return read.select(
         *df.columns,

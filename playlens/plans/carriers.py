@@ -139,12 +139,7 @@ def players(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return _project(table(spark, sf, "orders"), REQUEST).join(
-        table(spark, sf, "orders").select(
-            F.col("o_orderkey").alias("request_id"), F.expr("cast(o_orderdate as timestamp)").alias("at")
-        ),
-        "request_id",
-    )
+    return _project(table(spark, sf, "orders"), REQUEST | {"at": "cast(o_orderdate as timestamp)"})
 
 
 def _project(df: DataFrame, exprs: dict[str, str]) -> DataFrame:

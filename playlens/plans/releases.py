@@ -673,11 +673,14 @@ _CHOOSE = with_(
 )
 
 
-def chosen(spark, sf):
-    """Rank, cost and choose: the release, the tier that decided, and what it asks of the link."""
+def chosen(spark, sf, offered_rows=None):
+    """Rank, cost and choose: the release, the tier that decided, and what it asks of the link.
+
+    The offers are ranked, counted and asked for reasons; they are worked out once and kept.
+    """
     w = wants(spark, sf)
     p = c.players(spark, sf).withColumnRenamed("player_id", "owner")
-    offered_rows = offers(spark, sf)
+    offered_rows = cut_lineage(offers(spark, sf)) if offered_rows is None else offered_rows
     ranked = rel.rank_candidates(offered_rows).select(
         "request_id", "release_id", "rank", "fit", "named", "start_at", "player", "max_bitrate", "size_bytes", "owner",
         *rel.CAPABILITIES,
@@ -750,20 +753,18 @@ def delivered_picture(spark, sf):
 )
 def requested_vs_served(spark, sf):
     named = c.releases(spark, sf).select("title_id", _c("listed_pos").alias("named_pos"), _c("release_id").alias("named_id"))
+    kept = cut_lineage(offers(spark, sf))
     choices = (
-        chosen(spark, sf)
+        chosen(spark, sf, kept)
         .join(c.requests(spark, sf).select("request_id", "title_id", "named_pos"), "request_id")
         .join(named, ["title_id", "named_pos"], "left")
     )
     ext = rel.left_out_extension(rel.release_name())
     held = _c("cached").eqNullSafe(F.lit(True)) & ~_c("three_d")
-    reasons = offers(spark, sf).select(
+    reasons = kept.select(
         "request_id",
         "release_id",
         F.when(held & ext.isNotNull(), F.concat(F.lit("left out: "), ext)).otherwise(_c("remembered_why")).alias("why"),
     )
-    out = rel_served(choices, reasons)
+    out = choice.requested_vs_served(choices, reasons)
     return out.select("request_id", "named_id", "release_id", "why")
-
-
-rel_served = choice.requested_vs_served
