@@ -277,12 +277,13 @@ def throttle(lines: DataFrame, every: int = LOG_EVERY, width: int = 3600) -> Dat
     Who is let through depends on who was before, yet no condition is folded in one task. Lines are first counted by
     their exact time. Each chunk of ``width`` seconds then says where it would end for each moment it could be entered
     at; those few steps are followed chunk to chunk; and each chunk is replayed from where it was truly entered.
-    ``lines``: (condition, at) with ``at`` in whole microseconds.
+    ``lines``: (condition, at) with ``at`` in whole microseconds, and ``n`` where a row stands for several lines.
     """
     import numpy as np
 
     step, span = every * 1_000_000, max(width, every) * 1_000_000
-    counted = lines.groupBy("condition", "at").agg(F.count("*").alias("n")).withColumn("chunk", F.floor(_c("at") / span))
+    many = F.sum("n") if "n" in lines.columns else F.count("*")
+    counted = lines.groupBy("condition", "at").agg(many.alias("n")).withColumn("chunk", F.floor(_c("at") / span))
 
     def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["at"].to_numpy())

@@ -61,15 +61,16 @@ def stream_rate_limit(spark, sf):
 
 @query(
     "stream_throttle",
-    """WITH RECURSIVE t AS (SELECT event_type AS condition, epoch_us(ts) AS "at", count(*) AS n FROM events GROUP BY ALL), r AS (
+    f"""WITH RECURSIVE w AS ({_WM.format(3600000000)}), t AS (SELECT event_type AS condition, epoch_us(ts) AS "at", count(*) AS n FROM events, w
+        WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= wm GROUP BY ALL), r AS (
         SELECT condition, min("at") AS "at" FROM t GROUP BY condition UNION ALL
         SELECT r.condition, (SELECT min(t."at") FROM t WHERE t.condition = r.condition AND t."at" >= r."at" + 10800000000) FROM r WHERE r."at" IS NOT NULL),
         e AS (SELECT condition, "at", lag("at") OVER (PARTITION BY condition ORDER BY "at") AS prv FROM r WHERE "at" IS NOT NULL)
         SELECT condition, "at", cast(coalesce((SELECT sum(n) FROM t WHERE t.condition = e.condition AND t."at" >= e.prv AND t."at" < e."at") - 1, 0) AS bigint) AS held FROM e""",
 )
 def stream_throttle(spark, sf):
-    lines = events(spark, sf).select(_c("event_type").alias("condition"), _c("us").alias("at"))
-    return jobs.stream_throttle(lines, every=3 * 3600)
+    lines = events(spark, sf).select("ts", _c("event_type").alias("condition"), _c("us").alias("at"))
+    return jobs.stream_throttle(lines, "1 hour", every=3 * 3600)
 
 
 @query(
@@ -127,14 +128,15 @@ def stream_replacements(spark, sf):
 def stream_reports(spark, sf):
     ev = events(spark, sf).where(_c("event_type") == "purchase")
     bodies = ev.select(
-        (_c("user_id") * 10000 + F.floor(_c("us") / 604800000000)).alias("session"), "event_id", _c("us").alias("at"), F.expr(_BODY).alias("body")
+        (_c("user_id") * 10000 + F.floor(_c("us") / 604800000000)).alias("session"), "event_id", "ts", _c("us").alias("at"), F.expr(_BODY).alias("body")
     )
-    return jobs.stream_reports(bodies).select("session", "event_id", "browser", "fragments", "dropped")
+    return jobs.stream_reports(bodies, "1 hour").select("session", "event_id", "browser", "fragments", "dropped")
 
 
 @query(
     "stream_verdicts",
-    with_(p=_PLAY) + 'SELECT session AS key, max(us) AS "at", arg_max(event, (us, event_id)) AS why FROM p GROUP BY session',
+    with_(p=_PLAY, w=_WM.format(3600000000))
+    + 'SELECT session AS key, max(us) AS "at", arg_max(event, (us, event_id)) AS why FROM p GROUP BY session HAVING max(us) + 604800000000 > (SELECT wm FROM w)',
 )
 def stream_verdicts(spark, sf):
     found = events(spark, sf).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from playlens.operators import reports as rp
-from playlens.operators.sessions import LOG_EVERY, REPORTS_PER_SESSION, STARTS_PER_MINUTE, VERDICT_TTL
+from playlens.operators.sessions import LOG_EVERY, REPORTS_PER_SESSION, STARTS_PER_MINUTE, VERDICT_TTL, throttle
 from playlens.session import ROCKSDB, shared_dir
 
 _c = F.col
@@ -95,46 +95,17 @@ def stream_rate_limit(starts: DataFrame, delay: str, per: int = STARTS_PER_MINUT
     return drain(out, "rate-limit")
 
 
-class _Throttle(StatefulProcessor):
-    def __init__(self, step: int):
-        self.step = step
+def stream_throttle(lines: DataFrame, delay: str, every: int = LOG_EVERY) -> DataFrame:
+    """(condition, at, held): one line per condition per ``every`` seconds from the last, over all closed hours.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("line", "last bigint, held bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        last, held = self.state.get() if self.state.exists() else (None, 0)
-        for pdf in rows:
-            at, out, i = np.sort(pdf["at"].to_numpy()), [], 0
-            while i < len(at):
-                # All lines before the next one due are held back together.
-                due = i if last is None else max(i, int(np.searchsorted(at, last + self.step, side="left")))
-                held += due - i
-                if due < len(at):
-                    last = int(at[due])
-                    out.append((key[0], last, held))
-                    held = 0
-                i = due + 1
-            if out:
-                yield pd.DataFrame(out, columns=["condition", "at", "held"])
-        self.state.update((last, held))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_throttle(lines: DataFrame, every: int = LOG_EVERY) -> DataFrame:
-    """(condition, at, held): one line per condition per ``every`` seconds from the last, in order of arrival."""
-    with_rocksdb(lines.sparkSession)
-    out = lines.groupBy("condition").transformWithStateInPandas(
-        statefulProcessor=_Throttle(every * 1_000_000),
-        outputStructType="condition string, at bigint, held bigint",
-        outputMode="Append",
-        timeMode="None",
-    )
-    return drain(out, "throttle")
+    Whatever order lines arrive in, they are counted by their exact time and given out when the watermark closes their
+    hour; no state is kept per condition. The closed counts go through the chunked throttle, which follows a condition from
+    hour to hour by the few moments at which an hour can be left, and replays the hours in parallel.
+    ``lines``: (condition, ts, at) with ``at`` in whole microseconds.
+    """
+    hour = F.window("ts", "1 hour")
+    counts = lines.withWatermark("ts", delay).groupBy("condition", hour, "at").agg(F.count("*").alias("n"))
+    return throttle(drain(counts.select("condition", "at", "n"), "throttle"), every)
 
 
 def stream_dedupe(asks: DataFrame, key: list[str], delay: str) -> DataFrame:
@@ -168,60 +139,82 @@ def stream_replacements(starts: DataFrame, served: DataFrame, grace: str, delay:
 
 
 class _FirstN(StatefulProcessor):
-    def __init__(self, n: int):
-        self.n = n
+    """The first n rows of a session by event time within what has come; forgotten ``ttl`` after its last row."""
+
+    def __init__(self, n: int, ttl: int):
+        self.n, self.ttl = n, ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("taken", "n int")
+        self.handle = handle
+        self.state = handle.getValueState("taken", "n int, at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        taken = self.state.get()[0] if self.state.exists() else 0
-        for pdf in rows:
-            if taken < self.n:
-                some = pdf.sort_values(["at", "event_id"]).head(self.n - taken)
-                taken += len(some)
-                yield some[["session", "event_id", "at", "body"]]
-        self.state.update((taken,))
+        taken, latest = self.state.get() if self.state.exists() else (0, 0)
+        first = None
+        for pdf in rows:  # the batches of a call come in no order
+            latest = max(latest, int(pdf["at"].max()))
+            some = pdf if first is None else pd.concat([first, pdf])
+            first = some.sort_values(["at", "event_id"]).head(self.n - taken)
+        if first is not None and len(first):
+            taken += len(first)
+            yield first[["session", "event_id", "at", "body"]]
+        self.state.update((taken, latest))
+        self.handle.registerTimer((latest + self.ttl) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and (self.state.get()[1] + self.ttl) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_reports(bodies: DataFrame, n: int = REPORTS_PER_SESSION) -> DataFrame:
-    """Flat rows of each session's first ``n`` reports, malformed ones counted. ``bodies``: (session, event_id, at, body)."""
+def stream_reports(bodies: DataFrame, delay: str, n: int = REPORTS_PER_SESSION, ttl: int = VERDICT_TTL) -> DataFrame:
+    """Flat rows of each session's first ``n`` reports, malformed ones counted.
+
+    ``bodies``: (session, event_id, ts, at, body). A session is forgotten when the stream is ``ttl`` seconds past it.
+    """
     with_rocksdb(bodies.sparkSession)
-    kept = bodies.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=_FirstN(n),
-        outputStructType="session bigint, event_id bigint, at bigint, body string",
-        outputMode="Append",
-        timeMode="None",
+    kept = (
+        bodies.withWatermark("ts", delay)
+        .groupBy("session")
+        .transformWithStateInPandas(
+            statefulProcessor=_FirstN(n, ttl),
+            outputStructType="session bigint, event_id bigint, at bigint, body string",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
     return drain_batches(kept, "reports", "append", lambda b: rp.report_stats(rp.parse_reports(b))).drop("epoch")
 
 
 class _Latest(StatefulProcessor):
+    """Tells each new latest verdict of a key, and at the end of its life that it is gone."""
+
     def __init__(self, ttl: int):
         self.ttl = ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("verdict", "at bigint, why string")
+        self.state = handle.getValueState("verdict", "at bigint, event_id bigint, why string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.state.get() if self.state.exists() else None
+        best = tuple(self.state.get()) if self.state.exists() else None
         for pdf in rows:
             top = pdf.sort_values(["at", "event_id"]).iloc[-1]
-            if best is None or int(top["at"]) >= best[0]:
-                best = (int(top["at"]), str(top["why"]))
-        self.state.update(tuple(best))
+            new = (int(top["at"]), int(top["event_id"]), str(top["why"]))
+            best = new if best is None else max(best, new)
+        self.state.update(best)
         self.handle.registerTimer((best[0] + self.ttl) // 1000)
-        yield pd.DataFrame([(key[0], *best)], columns=["key", "at", "why"])
+        yield pd.DataFrame([(key[0], *best, False)], columns=["key", "at", "event_id", "why", "gone"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A later verdict has a later timer of its own.
         if self.state.exists() and (self.state.get()[0] + self.ttl) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            last = tuple(self.state.get())
             self.state.clear()
-        return iter([])
+            yield pd.DataFrame([(key[0], *last, True)], columns=["key", "at", "event_id", "why", "gone"])
 
     def close(self) -> None:
         pass
@@ -238,10 +231,11 @@ def stream_verdicts(found: DataFrame, delay: str, ttl: int = VERDICT_TTL) -> Dat
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=_Latest(ttl),
-            outputStructType="key bigint, at bigint, why string",
+            outputStructType="key bigint, at bigint, event_id bigint, why string, gone boolean",
             outputMode="Append",
             timeMode="EventTime",
         )
     )
     told = drain(out, "verdicts")
-    return told.groupBy("key").agg(F.max(F.struct("at", "why")).alias("v")).select("key", "v.at", "v.why")
+    last = told.groupBy("key").agg(F.max(F.struct("at", "event_id", "gone", "why")).alias("v"))
+    return last.where(~_c("v.gone")).select("key", "v.at", "v.why")
