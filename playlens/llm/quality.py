@@ -77,17 +77,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     """Minimise the non-negative risk by Adam over all rows given."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(BINS + SHARES, np.float32), 0.0, prior)
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
+    p, u = positive, unlabelled
+    w = np.zeros(p.shape[1] + 1)  # the last one is the bias
     m, v = np.zeros_like(w), np.zeros_like(w)
+    mean = lambda x, s: np.append(x.T @ s.astype(np.float32), s.sum()) / len(x)
     for step in range(1, steps + 1):
-        now = w.astype(np.float32)
-        gp, gu = p @ now, u @ now
+        now = w[:-1].astype(np.float32)
+        gp, gu = p @ now + w[-1], u @ now + w[-1]
         sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
         # Logistic losses: l(+) = log(1+e^-g), l(-) = log(1+e^g); their slopes are s-1 and s.
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        grad = -up if negative < 0 else prior * (p.T @ (sp - 1)) / len(p) + up
+        up = mean(u, su) - prior * mean(p, sp)
+        grad = -up if negative < 0 else prior * mean(p, sp - 1) + up
         grad = grad + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -102,7 +103,10 @@ def _described(rows: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"x": [features(t).astype(np.float16).tobytes() for t in pdf["text"]]})
 
     got = rows.select("text").mapInPandas(run, "x binary").toPandas()["x"]
-    return np.stack([np.frombuffer(x, np.float16) for x in got]).astype(np.float32) if len(got) else np.zeros((0, BINS + SHARES), np.float32)
+    out = np.empty((len(got), BINS + SHARES), np.float32)
+    for i, x in enumerate(got):
+        out[i] = np.frombuffer(x, np.float16)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
