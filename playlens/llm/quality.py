@@ -2,8 +2,8 @@
 
 A text is described by the square roots of its byte-pair frequencies, hashed into bins, and a few shares (upper case,
 digits, marks, repeated lines and words). A linear model is trained on trusted positives P and unlabelled web text U by the
-non-negative risk  pi R+(P) + max(0, R-(U) - pi R-(P))  with the logistic loss: where the second part falls below zero,
-the step goes up that part alone. The class prior pi is estimated from the labels of the training fold.
+non-negative risk  pi R+(P) + max(0, R-(U) - pi R-(P))  with the logistic loss: where the second part would fall below
+zero, only the first is followed. The class prior pi is estimated from the labels of the training fold.
 
 Bound: the model is fitted on at most ``max_rows`` positives and ``max_rows`` unlabelled rows, those of the smallest
 hashes of their ids; every row is scored. Rows of the held-out fold teach nothing. Empty and null texts have no pairs and
@@ -73,13 +73,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30).astype(np.float64)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.3, decay: float = 1e-5) -> Model:
-    """Minimise the non-negative risk by Adam over all rows given."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.3, decay: float = 1e-5, threshold: float = THRESHOLD) -> Model:
+    """Minimise the non-negative risk by Adam over all rows given.
+
+    The rate falls to zero, and the weights of the second half of the steps are averaged. The bias is then set so that the
+    share 1 - prior of the unlabelled texts scores below ``threshold``: the ranking is learned, the cut follows the prior.
+    """
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(BINS + SHARES, np.float32), 0.0, prior)
     p, u = positive, unlabelled
     w = np.zeros(p.shape[1] + 1)  # the last one is the bias
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, total = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     mean = lambda x, s: np.append(x.T @ s.astype(np.float32), s.sum()) / len(x)
     for step in range(1, steps + 1):
         now = w[:-1].astype(np.float32)
@@ -87,12 +91,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
         # Logistic losses: l(+) = log(1+e^-g), l(-) = log(1+e^g); their slopes are s-1 and s.
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up = mean(u, su) - prior * mean(p, sp)
-        grad = -up if negative < 0 else prior * mean(p, sp - 1) + up
-        grad = grad + decay * w
+        grad = prior * mean(p, sp - 1) + decay * w
+        if negative > 0:
+            grad += mean(u, su) - prior * mean(p, sp)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(w[:-1].astype(np.float32), float(w[-1]), prior)
+        w -= rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if 2 * step > steps:
+            total += w
+    weights = (total[:-1] / (steps - steps // 2)).astype(np.float32)
+    bias = np.log(threshold / (1 - threshold)) - np.quantile(u @ weights, 1 - prior) + 1e-6
+    return Model(weights, float(bias), prior)
 
 
 def _described(rows: DataFrame) -> np.ndarray:
