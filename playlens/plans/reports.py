@@ -78,11 +78,12 @@ def _num(path: str) -> str:
     with_(**{k: _SQL[k] for k in "bopr"})
     + f"""SELECT event_id, replace(json_extract_string(stats, '$.event'), ' ', '_') AS event, json_extract_string(stats, '$.browser') AS browser, CASE WHEN json_type(stats, '$.engine') = 'VARCHAR' THEN
         json_extract_string(stats, '$.engine') END AS engine, {_num('$.fragments.count')} AS fragments, {_num('$.fragments.bytes')} AS bytes, {_num('$.fragments.kbpsP10')} AS kbps_p10,
-        nullif({_num('$.fragments.idleLowMs')}, 0) AS idle_low_ms, {_num('$.droppedFrames')} AS dropped, {_num('$.totalFrames')} AS frames FROM r WHERE stats IS NOT NULL""",
+        nullif({_num('$.fragments.idleLowMs')}, 0) AS idle_low_ms, {_num('$.droppedFrames')} AS dropped, {_num('$.totalFrames')} AS frames,
+        CASE WHEN json_type(stats, '$.buffers') = 'VARCHAR' THEN json_extract_string(stats, '$.buffers') END AS buffers, {_num('$.fragments.loadMs')} AS load_ms, {_num('$.fragments.kbpsMedian')} AS kbps_median,
+        {_num('$.fragments.slowestMs')} AS slowest_ms, {_num('$.bandwidthEstimateKbps')} AS estimate_kbps FROM r WHERE stats IS NOT NULL""",
 )
 def report_stats(spark, sf):
-    flat = rp.report_stats(reports(spark, sf))
-    return flat.select("event_id", "event", "browser", "engine", "fragments", "bytes", "kbps_p10", "idle_low_ms", "dropped", "frames")
+    return rp.report_stats(reports(spark, sf))
 
 
 @query(

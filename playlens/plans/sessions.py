@@ -520,7 +520,24 @@ def _signed(spark, sf):
     return se.audit_signatures(log, sess, key, domain), sess
 
 
-@query("audit_signatures")
+def _hmac_sql(message: str) -> str:
+    """The signature of a BLOB in SQL: nested SHA-256 under the key's two pads, 16 bytes in base64url."""
+    block = b"a key of the reader's choosing".ljust(64, b"\0")
+    inner, outer = (f"unhex('{bytes(b ^ pad for b in block).hex()}')" for pad in (0x36, 0x5C))
+    mac = f"sha256({outer} || unhex(sha256({inner} || {message})))"
+    return f"rtrim(translate(to_base64(unhex(substr({mac}, 1, 32))), '+/', '-_'), '=')"
+
+
+_SIGNED = _hmac_sql("encode('stream/url') || unhex('00') || encode(sid) || unhex('00') || encode(exp::VARCHAR)")
+
+
+@query(
+    "audit_signatures",
+    f"""WITH s AS (SELECT c_custkey, substr(md5(c_custkey::VARCHAR), 1, 22) AS sid, 789004800 + c_custkey % 2000 * 86400 AS exp FROM customer),
+        g AS (SELECT *, {_SIGNED} AS good FROM s), l AS (SELECT o_orderkey, o_custkey, epoch(o_orderdate)::BIGINT AS "at" FROM orders)
+        SELECT o_orderkey, sid, "at", CASE WHEN o_orderkey % 6 = 0 THEN reverse(good) ELSE good END AS sig,
+        CASE WHEN o_orderkey % 6 = 0 THEN reverse(good) ELSE good END = good AND "at" < exp AS valid FROM l JOIN g ON o_custkey = c_custkey""",
+)
 def audit_signatures(spark, sf):
     return _signed(spark, sf)[0]
 
