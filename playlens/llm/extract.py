@@ -41,6 +41,7 @@ BAD_WORDS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead topbar comment comments discussion respond disqus reply replies share sharing social related recommended "
     "subscribe subscription newsletter signup login search pagination pager widget toolbar contentinfo complementary toc".split()
 )
+LAYOUT = frozenset("has with no without".split())
 #: Common function words of English, French, German and Spanish.
 STOP = frozenset(
     "the of and to in is that it for was on are as with be by at or an a this from not have which he they you we his but had were been their has "
@@ -74,16 +75,23 @@ class Block:
     label: str = ""
 
 
-def _marked(name: str, attrs: str) -> bool:
-    """Whether the element's own markup says that it isn't part of the article."""
+def _marked(name: str, attrs: str, article: bool) -> bool:
+    """Whether the element's own markup says that it isn't part of the article.
+
+    ``has-sidebar`` and the like tell of a layout, not of the element; a header inside an article belongs to it.
+    """
     if not attrs:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main", "article") and not BAD_WORDS.isdisjoint(x.lower() for x in _SPLIT.split(value)):
-            return True
+        if key in ("class", "id", "role") and name not in ("html", "body", "main", "article"):
+            for one in value.split():
+                words = [w.lower() for w in _SPLIT.split(one)]
+                for before, word in zip(["", *words], words, strict=False):
+                    if word in BAD_WORDS and before not in LAYOUT and not (article and word == "header"):
+                        return True
     return False
 
 
@@ -147,13 +155,13 @@ def blocks_of(html: str) -> list[Block]:
                 stack.pop()  # a paragraph ends where the next block starts, an item where the next item does
             if name == "body":
                 del stack[1:]
-            marked = name not in VOID and _marked(name, m["attrs"])
+            marked = name not in VOID and _marked(name, m["attrs"], stack[-1][3])
             if name in CONTAINERS or marked:
                 _, _, bad, article = stack[-1]
                 regions += 1
                 bad = bad or marked or name in BAD_TAGS or (name == "header" and not article)
                 stack.append((name, regions, bad, article or name in ("article", "main")))
-        elif name in ("span", "ins", "amp-ad") and not closing and _marked(name, m["attrs"]):
+        elif name in ("span", "ins", "amp-ad") and not closing and _marked(name, m["attrs"], stack[-1][3]):
             flush()
             regions += 1
             stack.append((name, regions, True, stack[-1][3]))

@@ -53,3 +53,8 @@ def test_any_markup_is_read(parts):
 def test_article_text_comes_back(text):
     own = " ".join(f"{LONG} {text}".split())
     assert ex.main_text(f"<article><p>{escape(f'{LONG} {text}')}</p></article>") == own
+
+
+def test_layout_words_and_headers_of_articles_are_no_marks():
+    body = f"<div class='page has-sidebar'><article><div class='entry-header'><h1>A title</h1></div><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></div>"
+    assert ex.main_text(page(body)) == f"A title\n\n{LONG}"
