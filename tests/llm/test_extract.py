@@ -58,3 +58,8 @@ def test_article_text_comes_back(text):
 def test_layout_words_and_headers_of_articles_are_no_marks():
     body = f"<div class='page has-sidebar'><article><div class='entry-header'><h1>A title</h1></div><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></div>"
     assert ex.main_text(page(body)) == f"A title\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["Comments", "userComments", "AdBox", "site-footer", "NAV"])
+def test_capitals_in_names(name):
+    assert ex.main_text(page(f"<article><p>{LONG}</p></article><div class='{name}'><p>{LONG}</p></div>")) == LONG
