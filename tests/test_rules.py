@@ -23,12 +23,13 @@ def test_scrub_and_messages(spark):
         a=tx.scrub(F.lit(line)),
         b=tx.scrub(F.lit("bad config abc0 rejected"), ("abc0",)),
         c=tx.player_message(F.lit("PIPE: hvc1\nsession AAAAAA: ended\u0007")),
-        d=tx.player_message(F.lit("x" * 500)),
+        d=tx.player_message(F.lit("x" * 500), 400, 160),
+        e=tx.player_message(F.lit("x" * 500)),
     )
     assert r.a == "HTTP error 403\n<url>: Server returned 403, open <url> failed"
     assert r.b == "bad config <secret> rejected"
     assert r.c == "PIPE: hvc1 session AAAAAA: ended"
-    assert len(r.d) == 160
+    assert len(r.d) == 160 and len(r.e) == 500  # limits are the caller's
 
 
 def test_signature_is_hmac(spark):
@@ -84,7 +85,7 @@ def test_pick_audio(spark):
     assert tuple(r.a) == (2, "asked for: de")
     assert tuple(r.b) == (2, "default flag")
     assert tuple(r.c) == (3, "explicit index")
-    assert tuple(r.d) == (0, "first")
+    assert tuple(r.d) == (0, "lowest index")
 
 
 CAPS = dict.fromkeys(rel.CAPABILITIES, 0)
