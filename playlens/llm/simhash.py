@@ -32,6 +32,10 @@ SEED = 42
 #: First bit and width of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 TRIPLES = tuple(combinations(range(6), 3))
+#: First bit and width of four parts of the three blocks that a choice leaves (33 bits at most).
+PARTS = ((0, 9), (9, 8), (17, 8), (25, 8))
+#: Nodes that one task compares with each other.
+MOST = 8192
 #: References: every other 1, 2, 4, ... bits, all bits, and nine spread by a hash.
 PIVOTS = np.array([int("".join("1" if i >> b & 1 else "0" for i in range(64)), 2) for b in range(6)] + [(1 << 64) - 1, *(xxhash.xxh64_intdigest(str(i)) for i in range(9))], np.uint64)
 NEAR = 16
@@ -157,13 +161,40 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(rest["meeting"].to_numpy(), rest["fp"].to_numpy())
 
 
-def links_of(nodes: DataFrame) -> DataFrame:
-    """(a, b): links that connect the distinct fingerprints of ``nodes`` (fp) as all pairs within the radius would."""
+def _split(met: DataFrame, most: int, keys: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``met`` (meeting, fp, rest) in meetings of at most ``most`` nodes, and the others under each of ``keys`` (of n too)."""
+    large = store(met.groupBy("meeting").agg(F.count("*").alias("n")).filter(F.col("n") > most), "large")
+    # At most one large meeting for every ``most`` rows.
+    large = F.broadcast(large)
+    return met.join(large, "meeting", "left_anti"), met.join(large, "meeting").withColumn("meeting", F.explode(keys)).drop("n")
+
+
+def meetings_of(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """(meeting, fp): any two of ``nodes`` (fp) within the radius meet, and few more than ``most`` nodes share a meeting.
+
+    Nodes of a larger meeting agree in three blocks and differ in at most three bits of the rest, hence agree in one of
+    four parts of it, by which they meet anew. What is still too large is dealt into slices, of which any two meet.
+    """
     block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    keys = F.array(*(F.lit(t * (1 << 33)) + block[x] + F.shiftleft(block[y], 11) + F.shiftleft(block[z], 22) for t, (x, y, z) in enumerate(TRIPLES)))
-    met = nodes.select("fp", F.explode(keys).alias("meeting"))
-    dealt = met.repartition(parts(nodes.sparkSession), "meeting").sortWithinPartitions("meeting", "fp")
-    return dealt.select("meeting", "fp").mapInPandas(_meetings, "a long, b long").distinct()
+    pairs = []
+    for t, (x, y, z) in enumerate(TRIPLES):
+        u, v, w = (block[i] for i in range(6) if i not in (x, y, z))
+        key = F.lit(t * (1 << 33)) + block[x] + F.shiftleft(block[y], 11) + F.shiftleft(block[z], 22)
+        pairs.append(F.struct(key.alias("meeting"), (u + F.shiftleft(v, 11) + F.shiftleft(w, 22)).alias("rest")))
+    met = nodes.select("fp", F.inline(F.array(*pairs)))
+    again = F.array(*(F.xxhash64("meeting", F.lit(at), F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << width) - 1))) for at, width in PARTS))
+    small, met = _split(met, most, again)
+    slices = f"CAST(ceil(2 * n / {most}) AS INT)"
+    own = f"pmod(xxhash64(fp), {slices})"
+    tiles = F.expr(f"transform(filter(sequence(0, {slices} - 1), j -> j <> {own}), j -> xxhash64(meeting, least(CAST(j AS BIGINT), {own}), greatest(CAST(j AS BIGINT), {own})))")
+    middle, met = _split(store(met, "met-again"), most, tiles)
+    return small.unionByName(middle).unionByName(met).select("meeting", "fp")
+
+
+def links_of(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints of ``nodes`` (fp) as all pairs within the radius would."""
+    dealt = meetings_of(nodes, most).repartition(parts(nodes.sparkSession), "meeting").sortWithinPartitions("meeting", "fp")
+    return dealt.mapInPandas(_meetings, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
