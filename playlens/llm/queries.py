@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playlens.llm import decontaminate, exact, extract, ngram_lm, packing, pii, quality, repeats, simhash, warc
-from playlens.llm.common import table
+from playlens.llm import decontaminate, exact, extract, merkle, ngram_lm, packing, pii, prefix_tokens, quality, repeats, simhash, warc, word_runs
+from playlens.llm.common import crc_fold, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,66 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """All levels of the trees of ``base`` (tree, pos, h, n)."""
+    return f"""{name} AS (SELECT tree, 0 AS l, pos, h, n FROM {base}
+        UNION ALL SELECT tree, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM {name} WHERE n > 1 GROUP BY tree, l, pos // 3)"""
+
+
+def _fold_sql(name: str, base: str, levels: str) -> str:
+    """Every row of ``base`` (row, tree, pos, now, proof) folded through the levels of its tree."""
+    runs = f"SELECT tree, l, pos // 3 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {levels} GROUP BY tree, l, pos // 3"
+    return f"""{name}_runs AS ({runs}), {name} AS (SELECT row, tree, 0 AS l, pos, now, proof FROM {base}
+        UNION ALL SELECT f.row, f.tree, f.l + 1, f.pos // 3,
+            sha256(array_to_string(list_concat(hs[1 : f.pos % 3], [now], hs[f.pos % 3 + 2 :]), '')),
+            proof || array_to_string(list_concat(hs[1 : f.pos % 3], hs[f.pos % 3 + 2 :]), '')
+        FROM {name} f JOIN {name}_runs r ON r.tree = f.tree AND r.l = f.l AND r.run = f.pos // 3 WHERE r.n > 1)"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+#: crc32 of the decimal doc_id: each byte is put in and eight bits are shifted out.
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split(coalesce(doc_id::VARCHAR, ''), '') IF c <> '']),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_CUT = "CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+_LEAF = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '') AS tree, {CRC_SQL} AS crc, row_number() OVER () AS row FROM documents),
+    e AS (SELECT row, doc_id, tree, {_LEAF.format(_field_sql("text"))} AS leaf, {_LEAF.format(_field_sql(f"({_CUT})"))} AS now FROM d),
+    g AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS h FROM e),
+    {_tree_sql("lv", "g")},
+    s AS (SELECT tree AS source, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, h, count(*) OVER () AS n FROM lv WHERE n = 1),
+    {_tree_sql("tops", "s")},
+    b AS (SELECT row, tree, pos, now, '' AS proof FROM g),
+    {_fold_sql("f", "b", "lv")},
+    c AS (SELECT f.row, '' AS tree, s.pos, f.now, f.proof FROM f JOIN lv ON lv.tree = f.tree AND lv.l = f.l AND lv.n = 1 JOIN s ON s.source = f.tree),
+    {_fold_sql("t", "c", "tops")},
+    r AS (SELECT l, h AS root FROM tops WHERE n = 1)
+    SELECT g.doc_id, g.leaf, s.h AS subroot, root, sha256(t.proof) AS proof_sha256, t.now AS folded_root, t.now = root AS verified
+    FROM g JOIN s ON s.source = g.tree JOIN t ON t.row = g.row JOIN r ON r.l = t.l""",
+)
+def op11(spark, sf_dir):
+    """Tampering deletes line feeds where 2 divides the crc32 of the id."""
+    changed = F.when(crc_fold("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.folded(table(spark, sf_dir, "documents"), changed)
+
+
+@query("op12_prefix_tokens")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counted = prefix_tokens.prefix_counts(docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "text"), keep=["n_bytes"])
+    n_tokens = prefix_tokens.tokens_at(F.size("counts") - 1)
+    return counted.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > 1024).alias("over_limit"), prefix_tokens.longest_within(1024).alias("fitting_chars"))
+
+
+@query("op13_word_runs")
+def op13(spark, sf_dir):
+    """Of the documents whose crc32 ends in 0, a tail is replaced by copies of its first words."""
+    return word_runs.runs_of(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
