@@ -17,9 +17,8 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ WINDOW = 4096
 END_ID = 2
 GROUP = 1000
 MAX_PIECE = 1024
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
 
 
 @cache
@@ -48,64 +47,58 @@ def _tokenizer(path: str | None):
 #: The printable characters that stand for bytes in byte-level vocabularies; the other bytes follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
-#: Words whose pieces are plain: no apostrophe (contractions), no letters beyond Latin-1 (normal forms, odd lower case).
-_PLAIN = re.compile(r"[!-&(-;=-~ß-öø-ÿ]+")
+#: Texts whose pieces are plain: nothing beyond Latin-1 (normal forms, odd lower case), none of its letters that are digits or signs.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _SPECIAL = "<|"
 #: Python's split takes these four for white space, the tokenizer doesn't; texts that hold one are split by hand.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _ODD_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Fixed value: how the vocabulary cuts a plain text in lower case.
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 
 
-def _four(ids: Iterable[int]) -> bytes:
+def _four(ids: list[int]) -> bytes:
     got = array("I", ids)
     if sys.byteorder == "big":
         got.byteswap()
     return got.tobytes()
 
 
-class Words:
-    """Ids (as bytes) of white-space separated words, encoded once each.
+class Words(dict):
+    """Ids (as bytes) of pieces of plain texts and of words of other texts, encoded once each, when they are first asked for.
 
-    The tokenizer splits at white space and drops it, so words are independent. Plain words go to the vocabulary's
-    model piece by piece, which is five times as fast; all others through the whole tokenizer.
+    The tokenizer splits at white space and drops it, so words are independent, and so are the pieces it cuts a word into.
+    Plain pieces go to the vocabulary's model, which is five times as fast as the whole tokenizer.
     """
 
     def __init__(self, path: str | None) -> None:
+        super().__init__()
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            shown = piece if piece.isascii() else "".join(_BYTES[b] for b in piece.encode())
-            got = self.pieces[piece] = _four(t.id for t in self.tokenizer.model.tokenize(shown))
-        return got
-
-    def _learn(self, new: list[str]) -> None:
-        odd = []
-        for word in new:
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and _SPECIAL not in word:
             low = word.lower()
-            if _PLAIN.fullmatch(low) and _SPECIAL not in word and (word.isascii() or len(low) == len(word)):
-                self.known[word] = b"".join(map(self._piece, _PIECES.findall(low)))
+            pieces = _PIECES.findall(low)
+            if len(pieces) == 1:
+                shown = low if low.isascii() else "".join([_BYTES[b] for b in low.encode()])
+                got = _four([t.id for t in self.tokenizer.model.tokenize(shown)])
             else:
-                odd.append(word)
-        for i in range(0, len(odd), 5_000):
-            some = odd[i : i + 5_000]
-            self.known.update(zip(some, (_four(e.ids) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+                got = b"".join(map(self.__getitem__, pieces))
+        else:
+            got = _four(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = got
+        return got
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers, the end id among them."""
-        split = [_ODD_SPACE.sub(" ", t).split(" ") if _SEPARATORS.search(t) else t.split() for t in texts]
-        words = set(chain.from_iterable(split))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(words)
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces = {}
-        self._learn(new)
-        of, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
-        for own in split:
+        of, end = self.__getitem__, END_ID.to_bytes(4, "little")
+        for text in texts:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+                own = _PIECES.findall(text.lower())
+            else:
+                own = _ODD_SPACE.sub(" ", text).split(" ") if _SEPARATORS.search(text) else text.split()
             yield b"".join(map(of, own)) + end
 
 
@@ -197,7 +190,8 @@ PACKED = PIECE + ", sequence_id long, offset long"
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_piece: int = MAX_PIECE, group: int = GROUP, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: where it is in its document and in which sequence, at which offset. Groups hold about ``group`` documents."""
-    pieces = store(pieces_of(docs, id_col, text_col, window, max_piece, tokenizer), "pieces")
+    pieces = pieces_of(docs, id_col, text_col, window, max_piece, tokenizer)
+    pieces = store(pieces.withColumn("tie", F.monotonically_increasing_id()), "pieces")  # rows that repeat id and text are dealt out too
     groups = -(-pieces.filter("start = 0").count() // group) or 1
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         where = np.concatenate([np.arange(full), full + windows(pdf["length"].tolist()[full:], window)])
         pdf["sequence_id"] = (int(key[0]) << 32) + where.astype(np.int64)
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        return pdf.drop(columns=["pack_group"])
+        return pdf.drop(columns=["pack_group", "tie"])
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "tie"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(run, PACKED)

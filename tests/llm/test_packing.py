@@ -53,3 +53,27 @@ def test_round_trip(spark, odd, none):
             ids = next(own.ids([text[r.doc_id]]))
             assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) and r.doc_tokens == len(ids) // 4
     assert packing.pack(none).count() == 0
+
+
+def test_whole_table_against_the_tokenizer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs).collect()
+    plain, pieces = packing._tokenizer(None), {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for r in docs.collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, packing.END_ID]
+        at = 0
+        for start, length, crc, total in sorted(pieces[r.doc_id]):
+            assert start == at and total == len(ids)
+            assert crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    sequences = {r.sequence_id for r in rows}
+    assert len(sequences) <= 1.02 * -(-sum(r.length for r in rows) // packing.WINDOW)
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    docs = spark.range(300).selectExpr("CAST(1 AS LONG) AS doc_id", "'the same text' AS text")
+    rows = packing.pack(docs, group=20).collect()
+    assert len(rows) == 300 and len({r.sequence_id >> 32 for r in rows}) > 5
