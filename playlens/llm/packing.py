@@ -30,7 +30,8 @@ WINDOW = 4096
 END_ID = 2
 GROUP = 1000
 MAX_PIECE = 1024
-CACHED_WORDS = 500_000
+#: Pieces that a Python worker remembers, about 200 bytes each.
+CACHED_WORDS = 400_000
 
 
 @cache

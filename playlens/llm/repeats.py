@@ -73,12 +73,17 @@ def segments_of(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-_SEGMENT = "doc_id long, ref long, meeting long, span long"
+_SEGMENT = "doc_id long, mark long, ref long, meeting long, span long"
 
 
-def _text_mark(text: Column) -> Column:
-    """32 bits of the text's hash: with the id, they name a row."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+def _marks(text: Column) -> tuple[Column, Column]:
+    """96 bits of two hashes of the text: with the id, they name a row. Rows alike in all of them have the same text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _mark(mark: str, low: str | Column) -> Column:
+    """Both marks as one string."""
+    return F.concat_ws("-", F.col(mark), low)
 
 
 def _segments(length: int):
@@ -86,18 +91,18 @@ def _segments(length: int):
         hashed = xxhash.xxh3_64_intdigest
         for pdf in batches:
             for i in range(0, len(pdf), 1000):
-                some, cols = pdf.iloc[i : i + 1000], [[], [], [], []]
-                for doc, text, mark in zip(some["doc_id"], some["text"], some["mark"], strict=True):
+                some, cols = pdf.iloc[i : i + 1000], [[], [], [], [], []]
+                for doc, text, mark, low in zip(some["doc_id"], some["text"], some["mark"], some["low"], strict=True):
                     raw = text.encode("utf-8", "replace")
                     if len(raw) < length:
                         continue
                     first, last, _, meeting = segments_of(raw, length)
                     span = [hashed(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    own = np.full(len(first), NO_ID if pd.isna(doc) else int(doc)), (np.int64(mark) << 32) | np.arange(len(first)), meeting, np.array(span, np.uint64).view(np.int64)
+                    own = np.full(len(first), NO_ID if pd.isna(doc) else int(doc)), np.full(len(first), mark), (np.int64(low) << 32) | np.arange(len(first)), meeting, np.array(span, np.uint64).view(np.int64)
                     for col, new in zip(cols, own, strict=True):
                         col.append(new)
                 if cols[0]:
-                    yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("doc_id", "ref", "meeting", "span"), cols, strict=True)})
+                    yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("doc_id", "mark", "ref", "meeting", "span"), cols, strict=True)})
 
     return run
 
@@ -179,7 +184,7 @@ def _judge(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [same[a : a + len(s) - length + 1] for a, s in zip(starts.tolist(), segments, strict=False)]
 
 
-_PENDING = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary, covered array<struct<start:int,stop:int>>, judged array<struct<meeting:bigint,solo:boolean,large:boolean,first:int,last:int,place:int>>"
+_PENDING = "doc_id long, mark string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary, covered array<struct<start:int,stop:int>>, judged array<struct<meeting:bigint,solo:boolean,large:boolean,first:int,last:int,place:int>>"
 
 
 def _digest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -225,8 +230,8 @@ def _open(length: int):
     return run
 
 
-_CELL = "meeting long, doc_id long, mark long, first int, last int, place int, raw binary, solo boolean"
-_SPAN = "doc_id long, mark long, start int, stop int"
+_CELL = "meeting long, doc_id long, mark string, first int, last int, place int, raw binary, solo boolean"
+_SPAN = "doc_id long, mark string, start int, stop int"
 
 
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -301,20 +306,23 @@ def _refine(rows: DataFrame, length: int, group: int) -> tuple[list[DataFrame],
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (removed runs), kept_sha256 (of the bytes that stay)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", _text_mark(F.col("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    mark, low = _marks(F.col("text"))
+    rows = rows.withColumn("mark", mark).withColumn("low", low)
     n = parts(docs.sparkSession)
     segments = store(rows.mapInPandas(_segments(length), _SEGMENT), "segments")
     met = segments.groupBy("meeting").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
     # Stored first: a join of two plain tables can be split where one meeting has very many rows.
     met = store(met.select("meeting", (F.col("low") != F.col("high")).alias("mixed")), "meetings")
     hits = store(segments.join(met, "meeting"), "segments-met")
-    kinds = store(hits.filter("mixed").groupBy("meeting", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "ref")).alias("one")), "segment-kinds")
+    kinds = store(hits.filter("mixed").groupBy("meeting", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "ref")).alias("one")), "segment-kinds")
     groups = kinds.groupBy("meeting").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("least = 1")
-    judged = kinds.join(groups, "meeting").select("one.doc_id", "one.ref", F.lit(True).alias("judged"), (F.col("copies") == 1).alias("solo"), (F.col("kinds") > group).alias("large"))
-    same = hits.filter("NOT mixed").select("doc_id", "ref").unionByName(hits.filter("mixed").join(kinds.filter("copies > 1").select("meeting", "span"), ["meeting", "span"]).select("doc_id", "ref"))
-    same = same.select("doc_id", "ref", F.lit(False).alias("judged"), F.lit(False).alias("solo"), F.lit(False).alias("large"))
-    every = judged.unionByName(same).select("doc_id", F.shiftrightunsigned("ref", 32).alias("mark"), F.struct(F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF)).alias("index"), "judged", "solo", "large").alias("met"))
+    judged = kinds.join(groups, "meeting").select("one.doc_id", "one.mark", "one.ref", F.lit(True).alias("judged"), (F.col("copies") == 1).alias("solo"), (F.col("kinds") > group).alias("large"))
+    same = hits.filter("NOT mixed").select("doc_id", "mark", "ref").unionByName(hits.filter("mixed").join(kinds.filter("copies > 1").select("meeting", "span"), ["meeting", "span"]).select("doc_id", "mark", "ref"))
+    same = same.select("doc_id", "mark", "ref", F.lit(False).alias("judged"), F.lit(False).alias("solo"), F.lit(False).alias("large"))
+    every = judged.unionByName(same).select("doc_id", _mark("mark", F.shiftrightunsigned("ref", 32)).alias("mark"), F.struct(F.col("ref").bitwiseAND(F.lit(0xFFFFFFFF)).alias("index"), "judged", "solo", "large").alias("met"))
     of_doc = every.groupBy("doc_id", "mark").agg(F.collect_list("met").alias("met")).withColumnRenamed("doc_id", "key").withColumnRenamed("mark", "key_mark")
+    rows = rows.withColumn("mark", _mark("mark", "low"))
     keyed = rows.join(of_doc, (F.coalesce(rows["doc_id"], F.lit(NO_ID)) == of_doc["key"]) & (rows["mark"] == of_doc["key_mark"]), "left")
     state = store(keyed.select("doc_id", "mark", "text", "met").mapInPandas(_open(length), _PENDING), "repeats-open")
     pending = state.filter("raw IS NOT NULL")

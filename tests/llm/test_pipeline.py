@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as cp
 from playlens.llm import decontaminate as dc, exact, packing, quality
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain as plain_similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,8 +19,7 @@ def test_stages_against_plain_python(spark):
     for r in rows:
         latest[lower(r.text)] = max(r.doc_id, latest.get(lower(r.text), -1))
     rows = [r for r in rows if latest[lower(r.text)] == r.doc_id]
-    prints = [(r.doc_id, plain_fingerprint(r.text)) for r in rows]
-    rows = [r for r, c in zip(rows, plain_components(prints), strict=True) if c == r.doc_id]
+    rows = [r for r, c in zip(rows, plain_similar([(r.doc_id, r.text) for r in rows]), strict=True) if c == r.doc_id]
     items = [dc.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r in rows if not any(i in dc.normal(r.text) for i in items)]
     words = packing.Words(None)

@@ -59,3 +59,13 @@ def test_hot_passage_between_different_neighbours(spark):
     rows = [(i, words(rnd, rnd.randint(1, 60)) + hot + words(rnd, rnd.randint(1, 60))) for i in range(80)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in repeats.without_repeats(table, group=10).collect()), key=str) == brute(rows, 400)
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows are told apart by their texts, so a repeated id, a null one too, gives nobody the segments of another row."""
+    rnd = random.Random(8)
+    passage = words(rnd, 300)
+    for doc in (7, None):
+        rows = [(doc, words(rnd, rnd.randint(0, 200)) + passage[: rnd.choice([300, 700, 1100])] + words(rnd, 30)) for _ in range(60)] + [(doc, "short"), (doc, None)] * 3
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted((tuple(r) for r in repeats.without_repeats(table).collect()), key=str) == brute(rows, 400)
