@@ -14,16 +14,15 @@ LONG_PREBUFFER = 30.0
 NO_INDEX_HEADROOM = 1.5
 
 _LINES = T.ArrayType(T.DoubleType())
-_TERMS = (
+_TERMS = T.ArrayType(
     T.StructType().add("stretch", "double").add("opening", "double").add("slopes", _LINES).add("offsets", _LINES)
 )
 
 
 @F.pandas_udf(_TERMS)
-def link_terms(
-    starts: pd.Series, sizes: pd.Series, first: pd.Series, prebuffer: pd.Series, secs: pd.Series, cap: pd.Series
-) -> pd.DataFrame:
-    """The two terms of a title's need from segment ``first`` on, and its wait as a function of the rate.
+def link_terms(starts: pd.Series, sizes: pd.Series, shapes: pd.Series, prebuffer: pd.Series) -> pd.Series:
+    """For each of a title's ``shapes`` (first, secs, cap, factor) the two terms of its need from segment ``first`` on, and
+    its wait as a function of the rate. A title's arrays come once, with all its shapes.
 
     ``stretch`` is the largest bits-over-time of any run of segments j..k. Trying every pair is quadratic; instead a
     trial rate R is raised until no run asks more: with D(j) = bits before j - R * start of j, the worst run ending at
@@ -46,12 +45,12 @@ def link_terms(
             kept.append((s, o))
         return [k[0] for k in kept], [k[1] for k in kept]
 
-    def one(t, b, lo, pre, buf, capped):
-        t, bits = np.asarray(t, float)[int(lo) :], np.asarray(b, float)[int(lo) :] * 8.0
+    def one(t, before, lo, factor, pre, buf, capped):
+        t = t[lo:]
         if len(t) == 0:
             return 0.0, 0.0, [0.0], [0.0]
-        after = np.cumsum(bits)
-        ahead = after - bits
+        bits = (before[lo:] - before[lo]) * factor
+        ahead, after = bits[:-1], bits[1:]
         limit = None if capped is None or np.isnan(capped) else float(capped) * 8.0
         trial = 0.0
         while True:
@@ -73,8 +72,12 @@ def link_terms(
             trial = best
         return trial, float(np.max(after / (pre + t - t[0]))), *hull(after, t - t[0])
 
-    rows = [one(*a) for a in zip(starts, sizes, first, prebuffer, secs, cap)]
-    return pd.DataFrame(rows, columns=["stretch", "opening", "slopes", "offsets"])
+    out = []
+    for t, b, own, pre in zip(starts, sizes, shapes, prebuffer):
+        t, before = np.asarray(t, float), np.append(0.0, np.cumsum(np.asarray(b, float) * 8.0))
+        terms = [one(t, before, int(s["first"]), s["factor"], pre, s["secs"], s["cap"]) for s in own]
+        out.append([dict(zip(("stretch", "opening", "slopes", "offsets"), x)) for x in terms])
+    return pd.Series(out)
 
 
 def segment_arrays(segs_bytes: DataFrame) -> DataFrame:
@@ -92,30 +95,29 @@ def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float =
     """``deliveries`` (title, first, buffer_secs, buffer_bytes, size, rate, ...) with stretch, needed rate and wait.
 
     ``size`` rescales the title's bytes to what is delivered of it. ``wait`` is null without a rate, and where no wait
-    would do because a stretch asks for more than the rate. Deliveries alike in all but the rate are costed once; the
-    segments themselves never travel with them.
+    would do because a stretch asks for more than the rate. Deliveries alike in all but the rate are costed once; the shapes
+    of a title go to its one row of segments, which are never copied.
     """
     total = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
-    factor = F.when((total > 0) & F.col("size").isNotNull(), F.col("size") / total).otherwise(F.lit(1.0))
+    asked = F.transform(
+        "__shapes",
+        lambda s: F.struct(
+            s["first"].cast("int").alias("first"),
+            s["buffer_secs"].cast("double").alias("secs"),
+            s["buffer_bytes"].cast("double").alias("cap"),
+            F.when((F.col("__total") > 0) & s["size"].isNotNull(), s["size"] / F.col("__total")).otherwise(F.lit(1.0)).alias("factor"),
+        ),
+    )
     tasks = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shapes = deliveries.select(*SHAPE).distinct().groupBy("title").agg(F.collect_list(F.struct(*SHAPE[1:])).alias("__shapes"))
     costs = (
-        deliveries.select(*SHAPE)
-        .distinct()
-        .join(segment_arrays(segs_bytes), "title")
-        .withColumn("__factor", factor)
+        segment_arrays(segs_bytes)
+        .join(shapes, "title")
+        .withColumn("__total", total)
         .repartition(tasks)  # little data but much arithmetic: do not let it be coalesced into one task
-        .withColumn(
-            "__terms",
-            link_terms(
-                "starts",
-                F.transform("sizes", lambda x: x * F.col("__factor")),
-                F.col("first").cast("int"),
-                F.lit(float(prebuffer)),
-                F.col("buffer_secs").cast("double"),
-                F.col("buffer_bytes").cast("double"),
-            ),
-        )
-        .select(*[F.col(k).alias(f"__{k}") for k in SHAPE], "__terms")
+        .withColumn("__terms", link_terms("starts", "sizes", asked, F.lit(float(prebuffer))))
+        .select("title", F.explode(F.arrays_zip("__shapes", "__terms")).alias("__one"))
+        .select(F.col("title").alias("__title"), *[F.col(f"__one.__shapes.{k}").alias(f"__{k}") for k in SHAPE[1:]], F.col("__one.__terms").alias("__terms"))
     )
     cond = F.lit(True)
     for k in SHAPE:

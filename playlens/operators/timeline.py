@@ -165,36 +165,66 @@ def restart_points(segs: DataFrame, keyframes: DataFrame, durations: DataFrame)
     )
 
 
-def split_opening(segs: DataFrame, keyframes: DataFrame, starts: DataFrame) -> DataFrame:
-    """``segs`` with the segment a player opens on split at its nearby keyframes. ``starts``: (title, start_at)."""
-    lengths = segs.groupBy("title").agg(F.max("end").alias("duration"))
-    s = starts.join(lengths, "title").withColumn(
-        "point", F.least(F.greatest(F.col("start_at") - F.lit(START_SLACK), F.lit(0.0)), F.col("duration"))
-    )
-    opening = (
-        segs.join(s, "title")
-        .where((F.col("start") <= F.col("point")) & (F.col("point") < F.col("end")))
-        .select("title", F.col("start").alias("w0"), F.col("end").alias("w1"), "point", "start_at")
-    )
-    near = keyframes.select("title", "t").join(opening, "title")
-    t, slack = F.col("t"), F.lit(CUT_SLACK)
-    before = near.groupBy("title").agg(
-        F.coalesce(F.max(F.when(t <= F.col("point") + slack, t)), F.min("t")).alias("before")
-    )
-    inside = near.where((t > F.col("w0")) & (t < F.col("w1"))).join(before, "title")
-    inside = inside.where(~((F.col("w0") == 0) & (F.abs(t - F.col("before")) < slack)))
-    stop = inside.groupBy("title").agg(F.min(F.when(t > F.col("start_at") + slack, t)).alias("stop"))
-    added = (
-        inside.join(stop, "title", "left")
-        .where((t + slack >= F.col("before")) & (F.col("stop").isNull() | (t <= F.col("stop"))))
-        .select("title", t.alias("start"))
-    )
-    cuts = segs.select("title", "start").unionByName(added)
-    w = Window.partitionBy("title").orderBy("start")
-    apart = cuts.withColumn("__gap", F.col("start") - F.lag("start").over(w)).where(
-        F.col("__gap").isNull() | (F.col("__gap") >= slack)
+OPENING_SECS = 60.0
+
+
+def opening_pieces(segs: DataFrame, keyframes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(title, start_at, n, piece, start, end): what stands in for segment ``n``, on which a player opens at ``start_at``.
+
+    ``starts``: (title, start_at), any number of a title. The segment is split at the keyframes in it from the one at or
+    before the point a second earlier through the first one after the start. Only keyframes of opened segments are looked
+    at: they meet by (title, bucket of time), once for all starts of a segment; a start past the end opens nothing.
+    """
+    slack, point = F.lit(CUT_SLACK), F.col("__point")
+    lengths = segs.groupBy("title").agg(F.max("end").alias("__duration"))
+    at = F.least(F.greatest(F.col("start_at") - F.lit(START_SLACK), F.lit(0.0)), F.col("__duration"))
+    opened = starts.select("title", "start_at").distinct().join(lengths, "title").withColumn("__point", at).drop("__duration")
+    held = {"n": F.col("n"), "__w0": F.col("start"), "__w1": F.col("end")}
+    opened = asof(opened, segs, ["title"], point, F.col("start"), held, CHUNK_SECS).where(point < F.col("__w1"))
+    times = keyframes.select("title", "t")
+    opened = asof(opened, times, ["title"], point + slack, F.col("t"), {"__before": F.col("t")}, CHUNK_SECS)
+    opened = opened.join(times.groupBy("title").agg(F.min("t").alias("__first")), "title", "left")
+    spans = opened.select("title", "n", "__w0", "__w1").distinct()
+    met = overlap_join(spans, times, ["title"], (F.col("__w0"), F.col("__w1")), (F.col("t"), F.col("t")), OPENING_SECS)
+    inside = met.groupBy("title", "n").agg(F.array_sort(F.collect_list("t")).alias("__inside"))
+    before = F.coalesce("__before", "__first")
+
+    def candidate(t: Column) -> Column:
+        return ~((F.col("__w0") == 0) & (F.abs(t - before) < slack)) & (F.col("__w1") - t >= slack)
+
+    inner = F.filter(F.coalesce("__inside", F.array().cast("array<double>")), candidate)
+    stop = F.array_min(F.filter("__inner", lambda t: t > F.col("start_at") + slack))
+    added = F.filter("__inner", lambda t: (t + slack >= before) & (F.col("__stop").isNull() | (t <= F.col("__stop"))))
+    cuts = F.concat(F.array("__w0"), added)
+    apart = F.filter("__cuts", lambda t, i: (i == 0) | (t - F.get("__cuts", i - 1) >= slack))
+    pieces = F.transform(
+        "__apart", lambda t, i: F.struct(i.cast("bigint").alias("piece"), t.alias("start"), F.coalesce(F.get("__apart", i + 1), "__w1").alias("end"))
     )
-    return _tile(apart.select("title", "start"), lengths)
+    rows = opened.join(inside, ["title", "n"], "left").withColumn("__inner", inner).withColumn("__stop", stop)
+    rows = rows.withColumn("__cuts", cuts).withColumn("__apart", apart)
+    return rows.select("title", "start_at", "n", F.inline(pieces))
+
+
+def split_opening(segs: DataFrame, pieces: DataFrame, starts: DataFrame) -> DataFrame:
+    """(title, start_at, n, start, end, …): the plan of each of ``starts``, its opening segment in ``pieces``, numbered anew.
+
+    Other segments only move up by the pieces that came in, so nothing is sorted or cut again.
+    """
+    opening = pieces.groupBy("title", "start_at").agg(F.max("n").alias("__at"), F.max("piece").alias("__more"))
+    own = starts.select("title", "start_at").distinct().join(opening, ["title", "start_at"], "left")
+    extra = [c for c in segs.columns if c not in ("title", "n", "start", "end")]
+    later = F.when(F.col("n") > F.col("__at"), F.col("n") + F.col("__more")).otherwise(F.col("n"))
+    rest = segs.join(own, "title").where(F.col("__at").isNull() | (F.col("n") != F.col("__at")))
+    rest = rest.select("title", "start_at", later.alias("n"), "start", "end", *extra)
+    return rest.unionByName(pieces.select("title", "start_at", (F.col("n") + F.col("piece")).alias("n"), "start", "end", *extra))
+
+
+def piece_bytes(pieces: DataFrame, index: DataFrame) -> DataFrame:
+    """``pieces`` with ``bytes``, from the positions of their two ends; none of titles without a usable index."""
+    keys = ["title", "start_at", "n", "piece"]
+    ends = pieces.select(*keys, "start", "end", F.explode(F.array("start", "end")).alias("t"))
+    at = bytes_at(ends, index).groupBy(*keys, "start", "end").agg(F.max("pos").alias("__to"), F.min("pos").alias("__from"))
+    return at.select(*keys, "start", "end", (F.col("__to") - F.col("__from")).alias("bytes"))
 
 
 def retained(gops: DataFrame, segs: DataFrame, wants: DataFrame, ahead: int = AHEAD_SEGMENTS) -> DataFrame:

@@ -94,30 +94,40 @@ def restart_points(spark, sf):
     return out.select("title", "n", F.round("at", 6).alias("at"), F.round("seek", 6).alias("seek"))
 
 
+# Three starts a title: the beginning, a time that many titles share, and one of its own.
+_OPENING = {
+    "starts": """SELECT DISTINCT title, unnest([0::DOUBLE, (title % 5) * 333.3::DOUBLE, duration * 0.37::DOUBLE]) AS start_at FROM dur""",
+    "op": """SELECT s.title, s.n, s.start AS w0, s."end" AS w1, start_at, greatest(start_at - 1, 0) AS point FROM segs s
+        JOIN starts USING (title) WHERE s.start <= greatest(start_at - 1, 0) AND greatest(start_at - 1, 0) < s."end" """,
+    "bef": """SELECT op.*, coalesce((SELECT max(t) FROM tl WHERE tl.title = op.title AND t <= point + 1e-9),
+        (SELECT min(t) FROM tl WHERE tl.title = op.title)) AS b FROM op""",
+    "cand": """SELECT DISTINCT tl.title, tl.t, start_at, n, b, w1 FROM tl JOIN bef USING (title) WHERE t > w0 AND t < w1
+        AND NOT (w0 = 0 AND abs(t - b) < 1e-9)""",
+    "extra": """SELECT title, start_at, n, t AS start, w1 FROM cand k WHERE k.t + 1e-9 >= b AND NOT EXISTS
+        (SELECT 1 FROM cand x WHERE x.title = k.title AND x.start_at = k.start_at AND x.t > x.start_at + 1e-9 AND x.t < k.t)""",
+    "pieces": """SELECT title, start_at, n, row_number() OVER w - 1 AS piece, start, coalesce(lead(start) OVER w, w1) AS "end"
+        FROM (SELECT title, start_at, n, w0 AS start, w1 FROM op UNION SELECT * FROM extra)
+        WINDOW w AS (PARTITION BY title, start_at ORDER BY start)""",
+    "many": "SELECT title, start_at, n AS at, max(piece) AS more FROM pieces GROUP BY title, start_at, n",
+}
+
+
+def starts(spark, sf):
+    at = F.array(F.lit(0.0), (F.col("title") % 5) * F.lit(333.3), F.col("duration") * F.lit(0.37))
+    return c.durations(spark, sf).select("title", F.explode(at).alias("start_at")).distinct()
+
+
 @query(
     "split_opening",
-    with_(
-        "segs",
-        "tl",
-        starts="SELECT title, cast((title % 5) * 333.3 AS DOUBLE) AS start_at FROM dur",
-        op="""SELECT s.title, s.start AS w0, s."end" AS w1, start_at, greatest(start_at - 1, 0) AS point FROM segs s
-            JOIN starts USING (title) WHERE s.start <= greatest(start_at - 1, 0) AND greatest(start_at - 1, 0) < s."end" """,
-        bef="""SELECT op.*, coalesce((SELECT max(t) FROM tl WHERE tl.title = op.title AND t <= point + 1e-9),
-            (SELECT min(t) FROM tl WHERE tl.title = op.title)) AS b FROM op""",
-        cand="""SELECT tl.title, tl.t, start_at, b FROM tl JOIN bef USING (title) WHERE t > w0 AND t < w1
-            AND NOT (w0 = 0 AND abs(t - b) < 1e-9)""",
-        extra="""SELECT k.title, k.t AS start FROM cand k WHERE k.t + 1e-9 >= b AND NOT EXISTS
-            (SELECT 1 FROM cand x WHERE x.title = k.title AND x.t > x.start_at + 1e-9 AND x.t < k.t)""",
-        allc="SELECT title, start FROM segs UNION SELECT title, start FROM extra",
-    )
-    + """SELECT title, row_number() OVER w - 1 AS n, round(start, 6) AS start,
-        round(coalesce(lead(start) OVER w, duration), 6) AS "end" FROM allc JOIN dur USING (title)
-        WINDOW w AS (PARTITION BY title ORDER BY start)""",
+    with_("segs", "tl", **_OPENING)
+    + """SELECT title, round(start_at, 6) AS start_at, n + piece AS n, round(start, 6) AS start, round("end", 6) AS "end" FROM pieces
+        UNION ALL SELECT s.title, round(t.start_at, 6), CASE WHEN s.n > m.at THEN s.n + m.more ELSE s.n END, round(s.start, 6), round(s."end", 6)
+        FROM segs s JOIN starts t USING (title) LEFT JOIN many m ON m.title = s.title AND m.start_at = t.start_at WHERE m.at IS NULL OR s.n <> m.at""",
 )
 def split_opening(spark, sf):
-    starts = c.durations(spark, sf).select("title", ((F.col("title") % 5) * F.lit(333.3)).alias("start_at"))
-    out = tl.split_opening(segments(spark, sf), c.timeline(spark, sf), starts)
-    return out.select("title", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    segs, at = cut_lineage(segments(spark, sf)), starts(spark, sf)
+    out = tl.split_opening(segs, tl.opening_pieces(segs, c.timeline(spark, sf), at), at)
+    return out.select("title", *[F.round(k, 6).alias(k) for k in ("start_at", "start", "end")], "n")
 
 
 # Runs of sixteen keyframes each stand for a producer's jobs; every 37th GOP is gone.
@@ -354,13 +364,32 @@ def link_need(spark, sf):
     )
 
 
+_DEMAND = {
+    **_OPENING,
+    "piece_edges": 'SELECT DISTINCT title, start AS t FROM pieces UNION SELECT title, "end" FROM pieces',
+    "piece_pos": """SELECT e.title, e.t, CASE WHEN b.t1 <= e.t + 1e-6 THEN p1 + (e.t - t1) * ((p1 - p0) / (t1 - t0))
+        ELSE coalesce((SELECT max(i.pos) FROM idx i WHERE i.title = e.title AND i.t <= e.t + 1e-6), p0) END AS pos
+        FROM piece_edges e JOIN bounds b USING (title) WHERE t1 > t0 AND p1 > p0""",
+    "sized": """SELECT p.title, p.start_at, p.n + p.piece AS n, p.start, b.pos - a.pos AS bytes FROM pieces p JOIN piece_pos a ON a.title = p.title AND a.t = p.start
+        JOIN piece_pos b ON b.title = p.title AND b.t = p."end"
+        UNION ALL SELECT s.title, t.start_at, CASE WHEN s.n > m.at THEN s.n + m.more ELSE s.n END, s.start, s.bytes
+        FROM segbytes s JOIN starts t USING (title) LEFT JOIN many m ON m.title = s.title AND m.start_at = t.start_at WHERE m.at IS NULL OR s.n <> m.at""",
+    "total": "SELECT title, sum(bytes) AS total FROM segbytes GROUP BY title",
+}
+
+
 @query(
     "session_demand",
-    with_("segbytes")
-    + """SELECT title, n, round(start, 3) AS start, cast(round(bytes * (1 + title % 3) * 1e9::DOUBLE / sum(bytes) OVER (PARTITION BY title)) AS bigint) AS bytes FROM segbytes""",
+    with_("segbytes", "tl", **_DEMAND)
+    + """SELECT title, round(start_at, 3) AS start_at, n, round(start, 3) AS start, cast(round(bytes * (1 + title % 3) * 1e9::DOUBLE / total) AS bigint) AS bytes
+        FROM sized JOIN total USING (title)""",
 )
 def session_demand(spark, sf):
-    """Each segment's start and bytes as a session sends them, from which a player can work out its own need."""
-    sizes = c.durations(spark, sf).select("title", ((1 + F.col("title") % 3) * F.lit(1e9)).alias("size"))
-    segs = tl.segment_bytes(cut_lineage(segments(spark, sf)), c.byte_index(spark, sf), sizes)
-    return segs.select("title", "n", F.round("start", 3).alias("start"), F.round("bytes").cast("bigint").alias("bytes"))
+    """Each segment's start and bytes as a session sends them from where it starts: a player can work out its own need."""
+    segs, at, index = cut_lineage(segments(spark, sf)), starts(spark, sf), c.byte_index(spark, sf)
+    whole = cut_lineage(tl.segment_bytes(segs, index))
+    pieces = tl.piece_bytes(cut_lineage(tl.opening_pieces(segs, c.timeline(spark, sf), at)), index)
+    total = whole.groupBy("title").agg(F.sum("bytes").alias("total"))
+    sent = tl.split_opening(whole, pieces, at.join(total, "title", "left_semi")).join(total, "title")
+    bytes_ = F.round(F.col("bytes") * (1 + F.col("title") % 3) * F.lit(1e9) / F.col("total")).cast("bigint")
+    return sent.select("title", F.round("start_at", 3).alias("start_at"), "n", F.round("start", 3).alias("start"), bytes_.alias("bytes"))

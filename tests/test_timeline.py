@@ -45,8 +45,22 @@ def test_plan_segments(spark, keyframes, duration, starts):
 def test_split_opening(spark, keyframes, duration, start, starts):
     k, d = frames(spark, keyframes, duration)
     at = spark.createDataFrame([(1, start)], "title bigint, start_at double")
-    rows = tl.split_opening(tl.plan_segments(k, d), k, at).orderBy("n").collect()
-    assert [r.start for r in rows] == starts
+    segs = tl.plan_segments(k, d)
+    rows = tl.split_opening(segs, tl.opening_pieces(segs, k, at), at).orderBy("n").collect()
+    assert [r.start for r in rows] == starts and [r.n for r in rows] == list(range(len(starts)))
+
+
+def test_every_start_of_a_title_has_its_own_opening(spark):
+    k, d = frames(spark, KFS, 30.021)
+    at = spark.createDataFrame([(1, 18.8), (1, 0.0), (1, 18.8), (1, 99.0), (2, 3.0)], "title bigint, start_at double")
+    segs = tl.plan_segments(k, d)
+    plan = {}
+    for r in tl.split_opening(segs, tl.opening_pieces(segs, k, at), at).orderBy("n").collect():
+        plan.setdefault(r.start_at, []).append(r)
+    assert [r.start for r in plan[18.8]] == [0, 8, 13, 16, 19.5, 24] and [r.start for r in plan[0.0]] == [0, 2.5, 8, 13, 19.5, 24]
+    assert [r.start for r in plan[99.0]] == [r.start for r in segs.orderBy("n").collect()] and len(plan) == 3
+    for rows in plan.values():
+        assert all(a.end == b.start for a, b in zip(rows, rows[1:])) and [r.n for r in rows] == list(range(len(rows)))
 
 
 def indexed(spark):
