@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.text import word
+from playlens.operators.quantiles import with_quantiles
 
 # Fixed values.
 MAX_CODE = 65_535
@@ -90,11 +91,10 @@ def report_stats(reports: DataFrame) -> DataFrame:
 
 
 def stats_by_client(flat: DataFrame) -> DataFrame:
-    return flat.groupBy("browser", "engine").agg(
-        F.count("*").alias("reports"),
-        F.sum("dropped").alias("dropped"),
-        F.percentile_approx("kbps_median", [0.1, 0.5, 0.9]).alias("kbps_p10_p50_p90"),
-    )
+    """Reports, dropped frames and exact tenths of the median rate by browser and engine."""
+    by = ["browser", "engine"]
+    totals = flat.groupBy(*by).agg(F.count("*").alias("reports"), F.sum("dropped").alias("dropped"))
+    return with_quantiles(totals, flat, by, ["kbps_median"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 def error_kinds(reports: DataFrame, key: str) -> DataFrame:
@@ -136,6 +136,44 @@ def stall_rollup(reports: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _whole(n: Column) -> Column:
+    return F.bround(n, 0).cast("bigint").cast("string")
+
+
+def stall_words(s: Column) -> Column:
+    """One stall in words; a part that it doesn't tell, or tells in a wrong type, is left out.
+
+    Fixed values: the wording of the parts, ``at=512s frozen 4200ms v=12.0 a=11.8 idle=8200ms``, `ms=?` for one not over yet.
+    """
+    loading, idle = boolean(s, "$.loading"), number(s, "$.idleMs")
+    lasted = F.when(_type(s, "$.ms") == "VOID", "ms=?").otherwise(F.concat(_whole(number(s, "$.ms")), F.lit("ms")))
+    waiting = F.coalesce(F.concat(F.lit("idle="), _whole(idle), F.lit("ms")), F.lit("idle"))
+    told = F.concat_ws(
+        " ",
+        F.concat(F.lit("at="), _whole(number(s, "$.at")), F.lit("s")),
+        short(s, "$.kind"),
+        lasted,
+        _tenths("v=", number(s, "$.videoAhead")),
+        _tenths("a=", number(s, "$.audioAhead")),
+        F.when(loading, "fetching").when(~loading, waiting),
+    )
+    return F.coalesce(F.nullif(told, F.lit("")), F.lit("?"))
+
+
+def _tenths(name: str, n: Column) -> Column:
+    return F.when(n.isNotNull(), F.format_string(name + "%.1f", F.bround(n, 1)))
+
+
+def stalls_with_rest(reports: DataFrame, key: str, k: int = SHOWN) -> DataFrame:
+    """(key, stalls_shown): a report's first ``k`` stalls in words, and how many more it counts; rows with a list only."""
+    s = _c("stats")
+    rows = reports.select(key, elements(s, "$.stalls").alias("l"), number(s, "$.stallCount").alias("count")).where(F.size("l") > 0)
+    total = F.greatest(F.coalesce(_c("count"), F.lit(0.0)).cast("bigint"), F.size("l").cast("bigint"))
+    rest = total - F.least(F.size("l"), F.lit(k))
+    more = F.when(rest > 0, F.concat(F.lit("+"), rest.cast("string"), F.lit(" more")))
+    return rows.select(key, F.concat_ws("; ", F.transform(F.slice("l", 1, k), stall_words), more).alias("stalls_shown"))
+
+
 def top_k_with_rest(kinds: DataFrame, key: str, k: int = SHOWN) -> DataFrame:
     """(key, shown): a report's first ``k`` kinds of error in words, and how many more there were.
 

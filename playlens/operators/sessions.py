@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.operators.ordered import Scan, flag_first, scan, top_n
+from playlens.operators.quantiles import with_quantiles
 
 # Seconds, and counts.
 UNATTENDED_IDLE = 60
@@ -177,13 +178,12 @@ def parse_timing(header: Column) -> dict[str, Column]:
 
 
 def selection_timing(sessions: DataFrame) -> DataFrame:
-    """``sessions`` (client, outcome, header) rolled up: counts, means and percentiles of each stretch."""
+    """``sessions`` (client, outcome, header) rolled up: counts, means and exact percentiles of each stretch."""
     parts = parse_timing(_c("header"))
     rows = sessions.select("client", "outcome", *[v.alias(k) for k, v in parts.items()])
-    aggs = [F.count("*").alias("sessions"), F.avg("tried").alias("tried")]
-    for k in ("resolve_ms", "open_ms", "init_ms"):
-        aggs += [F.avg(k).alias(k), F.percentile_approx(k, [0.5, 0.95]).alias(f"{k}_p50_p95")]
-    return rows.groupBy("client", "outcome").agg(*aggs)
+    by, stretches = ["client", "outcome"], ["resolve_ms", "open_ms", "init_ms"]
+    totals = rows.groupBy(*by).agg(F.count("*").alias("sessions"), F.avg("tried").alias("tried"), *[F.avg(k).alias(k) for k in stretches])
+    return with_quantiles(totals, rows, by, stretches, {"p50": 0.5, "p95": 0.95})
 
 
 def first_n_per_session(events: DataFrame, n: int) -> DataFrame:

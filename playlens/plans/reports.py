@@ -26,7 +26,7 @@ _BODY = f"""CASE WHEN event_id % 25 = 0 THEN 'not json' WHEN event_id % 25 = 1 T
     CASE WHEN event_id % 3 = 0 THEN '7' ELSE '"hls.js"' END, ',"fragments":{{"count":', {_N}, ',"bytes":', {_U}, '000.5,"loadMs":12,"kbpsP10":', CASE WHEN event_id % 5 = 0 THEN '"x"' ELSE {_U} END,
     ',"kbpsMedian":', {_N}, ',"idleLowMs":', CASE WHEN event_id % 2 = 0 THEN '0' ELSE {_N} END, '}},"bandwidthEstimateKbps":3800,"droppedFrames":', {_U}, ',"totalFrames":"many",',
     CASE WHEN event_id % 7 < 4 THEN concat('"stallCount":', cast(event_id % 7 - 1 as varchar(5)), ',"stalledMs":', {_U}, ',') ELSE '' END, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN '"stalls":[],'
-    ELSE concat('"stalls":[{{"at":1.5,"kind":"frozen","ms":420,"loading":true}},{{"kind":"', CASE WHEN event_id % 3 = 0 THEN 'frozen' ELSE 'wait' END, '","ms":null,"loading":false,"idleMs":', {_U}, '}},{{"loading":null}}],') END,
+    ELSE concat('"stalls":[{{"at":1.5,"kind":"frozen","ms":420,"videoAhead":12.25,"audioAhead":11,"loading":true}},{{"kind":"', CASE WHEN event_id % 3 = 0 THEN 'frozen' ELSE 'wait' END, '","ms":null,"loading":false,"idleMs":', {_U}, '}},{{"loading":null}}],') END,
     '"errors":[{{"details":"bufferStalledError","fatal":false,"count":', cast(event_id % 4 as varchar(5)), '}},{{"details":"e', {_U}, '"}},{{"details":"bufferStalledError","fatal":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '1' END,
     ',"count":2.7}},{{"fatal":true}},{{"details":"a"}},{{"details":"b b"}},{{"details":"c"}}]}}') END, '}}') END"""
 _SQL = {
@@ -90,10 +90,11 @@ def report_stats(spark, sf):
     "stats_by_client",
     with_(**{k: _SQL[k] for k in "bopr"})
     + f"""SELECT json_extract_string(stats, '$.browser') AS browser, CASE WHEN json_type(stats, '$.engine') = 'VARCHAR' THEN json_extract_string(stats, '$.engine') END AS engine, count(*) AS reports,
-        sum({_num('$.droppedFrames')}) AS dropped FROM r WHERE stats IS NOT NULL GROUP BY ALL""",
+        sum({_num('$.droppedFrames')}) AS dropped, {", ".join(f"quantile_disc({_num('$.fragments.kbpsMedian')}, {p / 100}) AS kbps_median_p{p}" for p in (10, 50, 90))}
+        FROM r WHERE stats IS NOT NULL GROUP BY ALL""",
 )
 def stats_by_client(spark, sf):
-    return rp.stats_by_client(rp.report_stats(reports(spark, sf))).select("browser", "engine", "reports", "dropped")
+    return rp.stats_by_client(rp.report_stats(reports(spark, sf)))
 
 
 @query("error_kinds", with_(**_SQL) + "SELECT * FROM kinds")
@@ -116,17 +117,34 @@ def stall_rollup(spark, sf):
     return rp.stall_rollup(reports(spark, sf), "event_id")
 
 
+def _stall(path: str, sql: str) -> str:
+    return f"CASE WHEN json_type(x, '{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN printf({sql}, json_extract_string(x, '{path}')::DOUBLE) END"
+
+
+_STALL = f"""coalesce(nullif(concat_ws(' ', {_stall("$.at", "'at=%.0fs'")}, nullif(replace(json_extract_string(x, '$.kind'), ' ', '_'), ''),
+    CASE WHEN json_type(x, '$.ms') = 'NULL' THEN 'ms=?' ELSE {_stall("$.ms", "'%.0fms'")} END, {_stall("$.videoAhead", "'v=%.1f'")}, {_stall("$.audioAhead", "'a=%.1f'")},
+    CASE json_extract_string(x, '$.loading') WHEN 'true' THEN 'fetching' WHEN 'false' THEN coalesce({_stall("$.idleMs", "'idle=%.0fms'")}, 'idle') END), ''), '?')"""
+
+
 @query(
     "top_errors",
     with_(
         **_SQL,
         k2="SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY first) AS i, count(*) OVER (PARTITION BY event_id) AS n FROM kinds",
+        e="""SELECT event_id, string_agg(kind || CASE WHEN times > 1 THEN ' x' || times ELSE '' END || CASE WHEN fatal THEN '(fatal)' ELSE '' END, ',' ORDER BY i) FILTER (WHERE i <= 3)
+            || CASE WHEN any_value(n) > 3 THEN ',+' || (any_value(n) - 3) || ' more' ELSE '' END AS shown FROM k2 GROUP BY event_id""",
+        s="""SELECT event_id, CASE WHEN json_type(stats, '$.stallCount') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(stats, '$.stallCount')::BIGINT END AS cnt,
+            json_extract(stats, '$.stalls[*]') AS l FROM r WHERE stats IS NOT NULL""",
+        t=f"""SELECT event_id, array_to_string(list_concat(list_transform(l[1:2], lambda x: {_STALL}), CASE WHEN greatest(coalesce(cnt, 0), len(l)) > least(len(l), 2)
+            THEN ['+' || (greatest(coalesce(cnt, 0), len(l)) - least(len(l), 2)) || ' more'] ELSE [] END), '; ') AS stalls_shown FROM s WHERE len(l) > 0""",
     )
-    + """SELECT event_id, string_agg(kind || CASE WHEN times > 1 THEN ' x' || times ELSE '' END || CASE WHEN fatal THEN '(fatal)' ELSE '' END, ',' ORDER BY i) FILTER (WHERE i <= 3)
-        || CASE WHEN any_value(n) > 3 THEN ',+' || (any_value(n) - 3) || ' more' ELSE '' END AS shown FROM k2 GROUP BY event_id""",
+    + "SELECT event_id, shown, stalls_shown FROM e FULL JOIN t USING (event_id)",
 )
 def top_errors(spark, sf):
-    return rp.top_k_with_rest(rp.error_kinds(reports(spark, sf), "event_id"), "event_id", 3)
+    """The first three kinds of error and the first two stalls of each report, in words, and how many more there were."""
+    read = reports(spark, sf)
+    errors = rp.top_k_with_rest(rp.error_kinds(read, "event_id"), "event_id", 3)
+    return errors.join(rp.stalls_with_rest(read, "event_id", 2), "event_id", "full")
 
 
 # ---- redaction ----------------------------------------------------------------------------------------------------
