@@ -93,7 +93,6 @@ def _seeds(words: np.ndarray, hashes: np.ndarray, w: int) -> Iterator[tuple[np.n
     """Places and lags of equal marked grams at a distance of w up to 2 w; ``hashes`` are of grams of w/2 words."""
     values = _mixed(hashes)
     least = _least(values, w // 2)
-    marked = np.zeros(len(values), bool)
     # a gram is marked if it is the least of a window that holds it: the greatest of its windows' leasts is its own value
     most = ~_least(~np.concatenate([np.zeros(w // 2 - 1, np.uint64), least, np.zeros(w // 2 - 1, np.uint64)]), w // 2)
     marked = most == values
