@@ -66,19 +66,17 @@ def candidate_alignments(spark, sf):
     )
 
 
-def doc_matches(spark, sf):
-    pairs, points = doc_pairs(spark, sf), doc_points(spark, sf)
-    return pa.aligned_matches(pairs, pa.candidate_alignments(pairs, points), points)
-
-
 @query(
     "aligned_matches",
     with_("seqs", episodes=_EPISODES, pairs=_PAIRS, **matching("pairs", "seqs"))
     + "SELECT pair_id, count(*) AS n, cast(sum(pos) AS bigint) AS positions, cast(sum(shift) AS bigint) AS total FROM matches GROUP BY pair_id",
 )
 def aligned_matches(spark, sf):
-    return doc_matches(spark, sf).groupBy("pair_id").agg(
-        F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("shift").alias("total")
+    """Matches summed by their unbroken runs: a run of n positions counts for n."""
+    runs = pa.shared_runs(doc_pairs(spark, sf), doc_points(spark, sf), pa.POINT_SECS)
+    positions = F.floor((_c("start") + _c("end")) * _c("n") / 2)
+    return runs.groupBy("pair_id").agg(
+        F.sum("n").alias("n"), F.sum(positions).alias("positions"), F.sum(_c("shift") * _c("n")).alias("total")
     )
 
 
@@ -88,7 +86,7 @@ def aligned_matches(spark, sf):
     + "SELECT pair_id, count(*) AS runs, max(e - s) AS longest, cast(sum(n) AS bigint) AS matches FROM runs GROUP BY pair_id",
 )
 def runs_with_gaps(spark, sf):
-    return pa.runs_with_gaps(doc_matches(spark, sf)).groupBy("pair_id").agg(
+    return pa.shared_runs(doc_pairs(spark, sf), doc_points(spark, sf)).groupBy("pair_id").agg(
         F.count("*").alias("runs"), F.max(_c("end") - _c("start")).alias("longest"), F.sum("n").alias("matches")
     )
 
