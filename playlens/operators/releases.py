@@ -312,6 +312,41 @@ def playable_share(matrix: DataFrame) -> DataFrame:
     )
 
 
+def _long(*cols: Column | str) -> Column:
+    """Whether one of these strings is longer than any real one."""
+    cond = F.lit(False)
+    for c in cols:
+        cond = cond | F.coalesce(F.octet_length(c) > 256, F.lit(False))
+    return cond
+
+
+def _bad_time(t: Column, limit: Column) -> Column:
+    return F.isnan(t) | (t < 0) | (t > limit)
+
+
+def _failed_rules() -> Column:
+    """Names of the rules a probe breaks, in order. Reads what its children were reduced to: kf_, ix_, au_ and su_ columns."""
+    rules = {
+        "container": _c("container").isin("matroska", "mp4"),
+        "duration": ~F.isnan("duration") & _c("duration").between(0.0, 7 * 86400.0),
+        "size": (_c("width") <= 65_535) & (_c("height") <= 65_535),
+        "strings": ~_long("codecs", "video"),
+        "frame_rate": F.coalesce(~F.isnan("frame_rate") & _c("frame_rate").between(0.0, 1000.0), F.lit(True)),
+        "dolby_vision": F.coalesce(
+            (_c("dv_profile") <= 10) & (_c("dv_compat") <= 7) & (_c("dv_level") <= 13), F.lit(True)
+        ),
+        "audio": (F.coalesce("au_n", F.lit(0)) <= 128) & ~F.coalesce("au_bad", F.lit(False)),
+        "subtitles": (F.coalesce("su_n", F.lit(0)) <= 128) & ~F.coalesce("su_bad", F.lit(False)),
+        "keyframes": (F.coalesce("kf_n", F.lit(0)) <= 65_536)
+        & ~F.coalesce("kf_wild", F.lit(False))
+        & ~F.coalesce("kf_unordered", F.lit(False)),
+        "byte_index": (F.coalesce("ix_n", F.lit(0)) <= 65_536)
+        & ~F.coalesce("ix_wild", F.lit(False))
+        & ~F.coalesce("ix_unordered", F.lit(False)),
+    }
+    return F.filter(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]), lambda x: x.isNotNull())
+
+
 def validate_media(media: DataFrame, keyframes: DataFrame, index: DataFrame, audio: DataFrame, subs: DataFrame) -> DataFrame:
     """``media`` with ``failed``: the rules each probe breaks, in order; empty when it may be used.
 
@@ -320,9 +355,6 @@ def validate_media(media: DataFrame, keyframes: DataFrame, index: DataFrame, aud
     """
     from playlens.operators.ordered import Scan, scan
 
-    def bad_time(limit: Column) -> Column:
-        return F.isnan("t") | (_c("t") < 0) | (_c("t") > limit)
-
     limits = media.select("release_id", (_c("duration") + 1.0).alias("__limit"))
 
     def series(df: DataFrame, values: list[str]) -> DataFrame:
@@ -335,41 +367,49 @@ def validate_media(media: DataFrame, keyframes: DataFrame, index: DataFrame, aud
         return (
             prev.join(limits, "release_id")
             .groupBy("release_id")
-            .agg(F.count("*").alias("n"), F.max(bad_time(_c("__limit"))).alias("wild"), F.max(down).alias("unordered"))
+            .agg(F.count("*").alias("n"), F.max(_bad_time(_c("t"), _c("__limit"))).alias("wild"), F.max(down).alias("unordered"))
         )
 
-    def long(*cols: str) -> Column:
-        cond = F.lit(False)
-        for c in cols:
-            cond = cond | F.coalesce(F.octet_length(c) > 256, F.lit(False))
-        return cond
-
     kf = series(keyframes, ["t"]).select("release_id", *[_c(c).alias(f"kf_{c}") for c in ("n", "wild", "unordered")])
     ix = series(index, ["t", "pos"]).select("release_id", *[_c(c).alias(f"ix_{c}") for c in ("n", "wild", "unordered")])
     au = audio.groupBy("release_id").agg(
-        F.count("*").alias("au_n"), F.max(long("codec", "language", "name") | (_c("channels") > 64)).alias("au_bad")
+        F.count("*").alias("au_n"), F.max(_long("codec", "language", "name") | (_c("channels") > 64)).alias("au_bad")
     )
-    su = subs.groupBy("release_id").agg(F.count("*").alias("su_n"), F.max(long("codec", "language")).alias("su_bad"))
-    rules = {
-        "container": _c("container").isin("matroska", "mp4"),
-        "duration": ~F.isnan("duration") & _c("duration").between(0.0, 7 * 86400.0),
-        "size": (_c("width") <= 65_535) & (_c("height") <= 65_535),
-        "strings": ~long("codecs", "video"),
-        "frame_rate": F.coalesce(~F.isnan("frame_rate") & _c("frame_rate").between(0.0, 1000.0), F.lit(True)),
-        "dolby_vision": F.coalesce(
-            (_c("dv_profile") <= 10) & (_c("dv_compat") <= 7) & (_c("dv_level") <= 13), F.lit(True)
-        ),
-        "audio": (F.coalesce("au_n", F.lit(0)) <= 128) & ~F.coalesce("au_bad", F.lit(False)),
-        "subtitles": (F.coalesce("su_n", F.lit(0)) <= 128) & ~F.coalesce("su_bad", F.lit(False)),
-        "keyframes": (F.coalesce("kf_n", F.lit(0)) <= 65_536)
-        & ~F.coalesce("kf_wild", F.lit(False))
-        & ~F.coalesce("kf_unordered", F.lit(False)),
-        "byte_index": (F.coalesce("ix_n", F.lit(0)) <= 65_536)
-        & ~F.coalesce("ix_wild", F.lit(False))
-        & ~F.coalesce("ix_unordered", F.lit(False)),
-    }
-    failed = F.filter(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]), lambda x: x.isNotNull())
+    su = subs.groupBy("release_id").agg(F.count("*").alias("su_n"), F.max(_long("codec", "language")).alias("su_bad"))
     joined = media
     for child in (kf, ix, au, su):
         joined = joined.join(child, "release_id", "left")
-    return joined.select(*media.columns, failed.alias("failed"))
+    return joined.select(*media.columns, _failed_rules().alias("failed"))
+
+
+def validate_nested(media: DataFrame) -> DataFrame:
+    """:func:`validate_media` for probes that carry their children as arrays, in order: ``keyframes`` (seconds),
+    ``byte_index`` (t, pos), ``audio`` (codec, language, name, channels) and ``subs`` (codec, language); null ones are empty.
+
+    Every rule is judged inside the row: nothing is exploded, grouped or joined.
+    """
+    limit = _c("duration") + 1.0
+
+    def any_of(values: Column, bad) -> Column:
+        return F.coalesce(F.exists(values, lambda x: F.coalesce(bad(x), F.lit(False))), F.lit(False))
+
+    def falls(values: Column) -> Column:
+        """Whether a value is less than the one before it."""
+        rest = F.greatest(F.size(values) - 1, F.lit(0))
+        down = F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(2), rest), lambda x, y: x > y)
+        return any_of(down, lambda x: x)
+
+    index_t, index_pos = _c("byte_index.t"), _c("byte_index.pos")
+    reduced = {
+        "kf_n": F.size("keyframes"),
+        "kf_wild": any_of(_c("keyframes"), lambda t: _bad_time(t, limit)),
+        "kf_unordered": falls(_c("keyframes")),
+        "ix_n": F.size("byte_index"),
+        "ix_wild": any_of(index_t, lambda t: _bad_time(t, limit)),
+        "ix_unordered": falls(index_t) | falls(index_pos),
+        "au_n": F.size("audio"),
+        "au_bad": any_of(_c("audio"), lambda x: _long(x["codec"], x["language"], x["name"]) | (x["channels"] > 64)),
+        "su_n": F.size("subs"),
+        "su_bad": any_of(_c("subs"), lambda x: _long(x["codec"], x["language"])),
+    }
+    return media.withColumns(reduced).select(*media.columns, _failed_rules().alias("failed"))

@@ -407,25 +407,59 @@ def read_releases(spark, sf):
     return rows.drop("url").withColumn("title_id", _c("title_id").cast("bigint"))
 
 
+_SUBS_LONG = 25
+
+
 @query(
     "media_snapshot",
-    with_("media", "dur") + """SELECT release_id, container, coalesce(duration, 7200) AS duration FROM media LEFT JOIN dur ON title = timeline WHERE release_id % 4 <> 0 AND container <> 'webm'""",
+    with_(
+        "media",
+        "idx",
+        "dur",
+        m="""SELECT m.*, coalesce(d.duration, 7200) - CASE WHEN release_id % 6 = 0 THEN 6000 ELSE 0 END AS duration
+            FROM media m LEFT JOIN dur d ON d.title = m.timeline""",
+        s="""SELECT title, t, CASE WHEN title % 9 = 0 THEN -pos ELSE pos END AS pos, row_number() OVER (PARTITION BY title
+            ORDER BY t * CASE WHEN title % 11 = 0 THEN -1 ELSE 1 END, id * CASE WHEN title % 11 = 0 THEN -1 ELSE 1 END) AS i FROM idx""",
+        g="""SELECT title, min(t) AS lo, max(t) AS hi, coalesce(bool_or(t < lt OR pos < lp), false) AS down FROM (SELECT *, lag(t) OVER w AS lt,
+            lag(pos) OVER w AS lp FROM s WINDOW w AS (PARTITION BY title ORDER BY i)) GROUP BY title""",
+    )
+    + f"""SELECT release_id, container, duration FROM m LEFT JOIN g ON g.title = m.timeline WHERE release_id % 4 <> 0 AND container <> 'webm'
+        AND duration BETWEEN 0 AND 604800 AND coalesce(frame_rate BETWEEN 0 AND 1000, true) AND release_id % 21 <> 0
+        AND release_id % {_SUBS_LONG} <> 0 AND coalesce(lo >= 0 AND hi <= duration + 1 AND NOT down, true)""",
 )
 def media_snapshot(spark, sf):
+    """Probes stored with their keyframes, byte index and tracks, read back, and judged inside their rows."""
     from playlens.operators import releases as rel
 
+    rid, title = _c("release_id"), _c("timeline")
     d = c.durations(spark, sf).withColumnRenamed("title", "timeline")
-    kept = c.media(spark, sf).join(d, "timeline", "left").withColumn("duration", F.coalesce("duration", F.lit(7200.0)))
+    # A title's index is at most 65 536 entries long.
+    listed = c.byte_index(spark, sf).groupBy(_c("title").alias("timeline")).agg(F.array_sort(F.collect_list(F.struct("t", "id", "pos"))).alias("l"))
+    entries = F.transform(
+        F.when(title % 11 == 0, F.reverse("l")).otherwise(_c("l")),
+        lambda x: F.struct(x["t"].alias("t"), F.when(title % 9 == 0, -x["pos"]).otherwise(x["pos"]).alias("pos")),
+    )
+
+    def track(channels):
+        name = F.lit(None).cast("string")
+        return F.struct(F.lit("ac-3").alias("codec"), F.lit("eng").alias("language"), name.alias("name"), channels.alias("channels"))
+
+    last = F.when(rid % 21 == 0, 65).otherwise(8)
+    sub = F.struct(F.when(rid % _SUBS_LONG == 0, F.repeat(F.lit("s"), 257)).otherwise("srt").alias("codec"), F.lit("eng").alias("language"))
+    kept = (
+        c.media(spark, sf)
+        .join(d, "timeline", "left")
+        .join(listed, "timeline", "left")
+        .withColumn("duration", F.coalesce("duration", F.lit(7200.0)) - F.when(rid % 6 == 0, 6000.0).otherwise(0.0))
+        .withColumn("byte_index", entries)
+        .withColumn("keyframes", _c("byte_index.t"))
+        .withColumns({"audio": F.array(track(F.lit(2)), track(F.lit(6)), track(last)), "subs": F.array(sub)})
+        .drop("l")
+    )
     path = shared_dir(spark, "probes")
-    kept.withColumn("schema", F.when(_c("release_id") % 4 == 0, 2).otherwise(1)).write.json(path)
+    kept.withColumn("schema", F.when(rid % 4 == 0, 2).otherwise(1)).write.json(path)
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-    media = rd.read_media_snapshot(spark, path, columns)
-    none = media.where(F.lit(False))
-    empty = none.select("release_id", F.lit(0).alias("i"), F.lit(0.0).alias("t"), F.lit(0).alias("pos"))
-    tracks = none.select("release_id", *[F.lit("").alias(x) for x in ("codec", "language", "name")], F.lit(2).alias("channels"))
-    # Frame rates past a thousand are another rule's business.
-    sane = media.withColumn("frame_rate", F.lit(None).cast("double"))
-    checked = rel.validate_media(sane, empty, empty, tracks, tracks)
+    checked = rel.validate_nested(rd.read_media_snapshot(spark, path, columns))
     return checked.where(F.size("failed") == 0).select("release_id", "container", "duration")
 
 
@@ -470,12 +504,37 @@ def content_duplicates(spark, sf):
     return dd.duplicates(c.table(spark, sf, "documents"), dd.content_key(_c("text")), "doc_id")
 
 
-@query("end_hash_duplicates")
+# Reels of a hundred texts, every second one stored twice; single texts are files too short for an end hash.
+_REEL = 100
+_WORDS = """list_sum([('0x' || substr(w, 15, 2) || substr(w, 13, 2) || substr(w, 11, 2) || substr(w, 9, 2) || substr(w, 7, 2) || substr(w, 5, 2) ||
+    substr(w, 3, 2) || substr(w, 1, 2))::UBIGINT::HUGEINT FOR w IN regexp_extract_all({h}, '.{{16}}')])"""
+
+
+@query(
+    "end_hash_duplicates",
+    f"""WITH reels AS (SELECT doc_id // {_REEL} AS k, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY k),
+        files AS (SELECT 'reel-' || k || '-a' AS name, content FROM reels UNION ALL SELECT 'reel-' || k || '-b', content FROM reels WHERE k % 2 = 0
+        UNION ALL SELECT 'text-' || doc_id, text FROM documents WHERE strlen(text) > 0),
+        sized AS (SELECT name, content, strlen(content) AS n FROM files), ends AS (SELECT name, n, substr(hex(content), 1, 131072) AS head,
+        right(hex(content), 131072) AS foot FROM sized WHERE n >= 65536),
+        keyed AS (SELECT name, format('{{:016x}}', ((n + {_WORDS.format(h="head")} + {_WORDS.format(h="foot")}) % 18446744073709551616)::UBIGINT) AS key FROM ends
+        UNION ALL SELECT name, n || ':' || sha256(content) FROM sized WHERE n BETWEEN 1 AND 65535)
+        SELECT key, count(*) AS n, min(name) AS first FROM keyed GROUP BY key HAVING count(*) > 1""",
+)
 def end_hash_duplicates(spark, sf):
-    """Texts repeated to file size, hashed by their two ends as files are; those that share a hash."""
-    times = F.ceil(F.lit(dd.HASH_CHUNK) / F.octet_length("text")).cast("int")
-    files = c.table(spark, sf, "documents").where(F.octet_length("text") > 0).select(
-        F.concat(F.lit("doc/"), _c("doc_id").cast("string")).alias("path"), F.repeat(_c("text"), times).cast("binary").alias("content")
+    """Texts and reels of texts stored as files; those that share a key. Of a long file only the two ends are read."""
+    docs = c.table(spark, sf, "documents")
+    reels = docs.groupBy(F.floor(_c("doc_id") / _REEL).alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("l")
+    )
+    reels = reels.select("k", F.array_join(_c("l.text"), "\n").alias("content"))
+    name = lambda kind, key, side="": F.concat(F.lit(kind), _c(key).cast("string"), F.lit(side)).alias("name")
+    files = (
+        reels.select(name("reel-", "k", "-a"), "content")
+        .unionByName(reels.where(_c("k") % 2 == 0).select(name("reel-", "k", "-b"), "content"))
+        .unionByName(docs.where(F.octet_length("text") > 0).select(name("text-", "doc_id"), _c("text").alias("content")))
     )
-    files = files.withColumn("length", F.octet_length("content"))
-    return dd.duplicates(dd.end_hash(files), _c("hash"), "path")
+    path = shared_dir(spark, "files")
+    wr.write_files(files, path)
+    keyed = dd.end_hash_of_files(rd.list_files(spark, path))
+    return dd.duplicates(keyed.withColumn("name", F.element_at(F.split("path", "/"), -1)), _c("hash"), "name")

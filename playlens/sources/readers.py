@@ -110,3 +110,8 @@ def parse_manifest(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     rows = found.select(key, "n", _c("p.name").alias("name"), F.trim("p.duration").try_cast("double").alias("duration"))
     return rows.where(_c("name").rlike(r"^g[^/]*\.m4s$") & _c("duration").isNotNull())
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files under ``folder``. Contents aren't read, and Spark leaves out empty files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.text import fixed
+from playlens.sources.files import located
 
 _c = F.col
 _HEAD = "#EXTM3U\n#EXT-X-VERSION:{}\n"
@@ -135,3 +136,24 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file a row of ``files`` (name, content) under ``folder``, which every executor must reach.
+
+    A task that is run again writes the same bytes to the same names.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, root = located(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = files.select("name", F.col("content").cast("binary").alias("content"))
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
