@@ -6,7 +6,8 @@ without stop words inside an article). Pass two gives every undecided block the
 crossing from one region of the page into another counts as a long way. The good blocks are the text.
 
 Regions such as navigation, asides, footers, forms, adverts, notices and reader comments are always bad, as are hidden
-elements; scripts, styles and other raw elements aren't blocks at all. Null and empty pages, and pages without a block,
+elements; scripts, styles and other raw elements aren't blocks at all. The stop words are those of four languages; blocks of
+other scripts, and pages on which no block has enough stop words, are judged by length, links and sentence ends instead. Null and empty pages, and pages without a block,
 give the empty text. A page without any decided block keeps what stands in an article or main element, else nothing but
 blocks outside bad regions. Equal pages give equal texts; pages of any length are read whole.
 """
@@ -61,6 +62,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Latin letters, those with marks included.
+_LATIN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]")
+#: A sentence's end, with what may close after it.
+_ENDS = re.compile(r"[.!?…。！？।؟۔։။។]\W*$")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -172,20 +177,45 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, or the empty string where the block alone can't tell."""
+def _other_script(block: Block) -> bool:
+    return 2 * len(_LATIN.findall(block.text)) < sum(map(str.isalpha, block.text))
+
+
+def long_unlinked(block: Block) -> bool:
+    """Whether the block has the length of a paragraph and few links. An ideograph tells as much as three letters."""
+    letters = "".join(block.text.split())
+    weight = len(letters) + 2 * sum("⺀" <= ch <= "힣" for ch in letters)
+    return weight >= SHORT and block.linked <= MAX_LINKS * len(letters)
+
+
+def sentences(block: Block) -> bool:
+    """Whether a block of a language without a stop-word list reads like a paragraph: long, few links, ended by a full stop."""
+    return long_unlinked(block) and bool(_ENDS.search(block.text))
+
+
+def first_pass(block: Block, fits: bool = True) -> str:
+    """good, bad, or the empty string where the block alone can't tell.
+
+    ``fits``: whether the stop-word lists fit the page's language. Where they don't, and in blocks of other scripts, low
+    density says nothing: sentences are good, other blocks undecided.
+    """
     if block.bad:
         return "bad"
     letters = len("".join(block.text.split()))
     if block.linked > MAX_LINKS * letters:
         return "" if block.article and block.linked < letters else "bad"
-    if block.heading or letters < SHORT:
+    if block.heading:
+        return ""
+    known = fits and not _other_script(block)
+    if not known and sentences(block):
+        return "good"
+    if letters < SHORT:
         return ""
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP for w in words) / max(len(words), 1)
     if stops >= STOPS_HIGH or (stops >= STOPS_LOW and (letters >= LONG or block.article)):
         return "good"
-    return "" if block.article or stops >= STOPS_LOW else "bad"
+    return "" if block.article or not known or stops >= STOPS_LOW else "bad"
 
 
 def second_pass(blocks: list[Block]) -> None:
@@ -216,7 +246,8 @@ def second_pass(blocks: list[Block]) -> None:
         else:
             decided = "good"
         # Only bad regions around: nothing inside an article speaks against the block.
-        if decided == "bad" and b.article and min(left, right) >= FAR:
+        # A paragraph of an article doesn't go with the links beside it.
+        if decided == "bad" and b.article and (min(left, right) >= FAR or (not b.heading and long_unlinked(b))):
             decided = "good"
         b.label = decided
 
@@ -225,6 +256,9 @@ def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     for b in blocks:
         b.label = first_pass(b)
+    if not any(b.label == "good" and not _other_script(b) for b in blocks):
+        for b in blocks:
+            b.label = first_pass(b, fits=False)
     second_pass(blocks)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 

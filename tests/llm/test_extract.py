@@ -55,6 +55,35 @@ def test_article_text_comes_back(text):
     assert ex.main_text(f"<article><p>{escape(f'{LONG} {text}')}</p></article>") == own
 
 
+RUSSIAN = "Вчера вечером жители небольшого города собрались на площади, чтобы обсудить строительство нового моста через реку."
+POLISH = "Wczoraj wieczorem mieszkańcy niewielkiego miasta zebrali się na rynku, żeby omówić budowę nowego mostu przez rzekę."
+CHINESE = "昨天晚上，小城的居民聚集在广场上，讨论在河上修建一座新桥的计划，许多人发表了意见。"
+
+
+@pytest.mark.parametrize("own", [RUSSIAN, POLISH, CHINESE])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_languages_without_a_stop_word_list(own, tag):
+    menu = "<ul><li><a href=x>Strona</a></li><li><a href=y>Kontakt</a></li></ul>"
+    body = f"<nav>{menu}</nav><{tag}><p>{own}</p><p>{own}</p><p>{own}</p></{tag}><div>{menu}</div><footer><p>{own}</p></footer>"
+    assert ex.main_text(page(body)) == "\n\n".join([own] * 3)
+
+
+@pytest.mark.parametrize("own", [RUSSIAN, CHINESE])
+def test_other_scripts_beside_a_text_with_stop_words(own):
+    assert ex.main_text(page(f"<div><p>{LONG}</p><p>{own}</p></div>")) == f"{LONG}\n\n{own}"
+
+
+def test_keywords_without_sentences_stay_out_beside_a_text():
+    words = "shoes boots sandals sneakers slippers trainers loafers moccasins espadrilles brogues pumps wedges"
+    assert ex.main_text(page(f"<article><p>{LONG}</p></article><div>{words}</div>")) == LONG
+
+
+def test_a_paragraph_stays_beside_linked_ones():
+    code = "def mean(values): total = sum(values); count = len(values); return total / count if count else None"
+    body = f"<article><p>{LONG}</p><p><a href=x>all of the links in it</a></p><pre>{code}</pre></article>"
+    assert ex.main_text(page(body)) == f"{LONG}\n\n{code}"
+
+
 def test_layout_words_and_headers_of_articles_are_no_marks():
     body = f"<div class='page has-sidebar'><article><div class='entry-header'><h1>A title</h1></div><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></div>"
     assert ex.main_text(page(body)) == f"A title\n\n{LONG}"
