@@ -21,8 +21,9 @@ _TERMS = T.ArrayType(
 
 @F.pandas_udf(_TERMS)
 def link_terms(starts: pd.Series, sizes: pd.Series, shapes: pd.Series, prebuffer: pd.Series) -> pd.Series:
-    """For each of a title's ``shapes`` (first, secs, cap, factor) the two terms of its need from segment ``first`` on, and
-    its wait as a function of the rate. A title's arrays come once, with all its shapes.
+    """For each of a title's ``shapes`` (first, secs, cap, factor, head) the two terms of its need from segment ``first`` on,
+    and its wait as a function of the rate. A title's arrays come once, with all its shapes; where a shape has a ``head``,
+    its pieces (start, bytes) stand in for segment ``first``.
 
     ``stretch`` is the largest bits-over-time of any run of segments j..k. Trying every pair is quadratic; instead a
     trial rate R is raised until no run asks more: with D(j) = bits before j - R * start of j, the worst run ending at
@@ -45,11 +46,16 @@ def link_terms(starts: pd.Series, sizes: pd.Series, shapes: pd.Series, prebuffer
             kept.append((s, o))
         return [k[0] for k in kept], [k[1] for k in kept]
 
-    def one(t, before, lo, factor, pre, buf, capped):
+    def one(t, before, lo, factor, pre, buf, capped, head):
         t = t[lo:]
         if len(t) == 0:
             return 0.0, 0.0, [0.0], [0.0]
-        bits = (before[lo:] - before[lo]) * factor
+        bits = before[lo:] - before[lo]
+        if head is not None and len(head):
+            opened = np.cumsum([8.0 * p["bytes"] for p in head])
+            t = np.concatenate(([p["start"] for p in head], t[1:]))
+            bits = np.concatenate(([0.0], opened, opened[-1] + bits[2:] - bits[1]))
+        bits = bits * factor
         ahead, after = bits[:-1], bits[1:]
         limit = None if capped is None or np.isnan(capped) else float(capped) * 8.0
         trial = 0.0
@@ -75,7 +81,7 @@ def link_terms(starts: pd.Series, sizes: pd.Series, shapes: pd.Series, prebuffer
     out = []
     for t, b, own, pre in zip(starts, sizes, shapes, prebuffer):
         t, before = np.asarray(t, float), np.append(0.0, np.cumsum(np.asarray(b, float) * 8.0))
-        terms = [one(t, before, int(s["first"]), s["factor"], pre, s["secs"], s["cap"]) for s in own]
+        terms = [one(t, before, int(s["first"]), s["factor"], pre, s["secs"], s["cap"], s["head"]) for s in own]
         out.append([dict(zip(("stretch", "opening", "slopes", "offsets"), x)) for x in terms])
     return pd.Series(out)
 
@@ -96,8 +102,10 @@ def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float =
 
     ``size`` rescales the title's bytes to what is delivered of it. ``wait`` is null without a rate, and where no wait
     would do because a stretch asks for more than the rate. Deliveries alike in all but the rate are costed once; the shapes
-    of a title go to its one row of segments, which are never copied.
+    of a title go to its one row of segments, which are never copied. With a column ``head`` (array of start and bytes)
+    those pieces are sent in place of segment ``first``, as where a session opens within it.
     """
+    keys = (*SHAPE, "head") if "head" in deliveries.columns else SHAPE
     total = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
     asked = F.transform(
         "__shapes",
@@ -106,10 +114,11 @@ def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float =
             s["buffer_secs"].cast("double").alias("secs"),
             s["buffer_bytes"].cast("double").alias("cap"),
             F.when((F.col("__total") > 0) & s["size"].isNotNull(), s["size"] / F.col("__total")).otherwise(F.lit(1.0)).alias("factor"),
+            (s["head"] if "head" in keys else F.lit(None)).cast("array<struct<start:double,bytes:double>>").alias("head"),
         ),
     )
     tasks = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shapes = deliveries.select(*SHAPE).distinct().groupBy("title").agg(F.collect_list(F.struct(*SHAPE[1:])).alias("__shapes"))
+    shapes = deliveries.select(*keys).distinct().groupBy("title").agg(F.collect_list(F.struct(*keys[1:])).alias("__shapes"))
     costs = (
         segment_arrays(segs_bytes)
         .join(shapes, "title")
@@ -117,10 +126,10 @@ def link_rates(deliveries: DataFrame, segs_bytes: DataFrame, prebuffer: float =
         .repartition(tasks)  # little data but much arithmetic: do not let it be coalesced into one task
         .withColumn("__terms", link_terms("starts", "sizes", asked, F.lit(float(prebuffer))))
         .select("title", F.explode(F.arrays_zip("__shapes", "__terms")).alias("__one"))
-        .select(F.col("title").alias("__title"), *[F.col(f"__one.__shapes.{k}").alias(f"__{k}") for k in SHAPE[1:]], F.col("__one.__terms").alias("__terms"))
+        .select(F.col("title").alias("__title"), *[F.col(f"__one.__shapes.{k}").alias(f"__{k}") for k in keys[1:]], F.col("__one.__terms").alias("__terms"))
     )
     cond = F.lit(True)
-    for k in SHAPE:
+    for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     stretch = F.col("__terms.stretch")
     wait = F.array_max(

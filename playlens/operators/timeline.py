@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.operators.ordered import Scan, asof, merge_intervals, overlap_join, scan
+from playlens.session import cut_lineage
 
 # Seconds.
 TARGET_SECS = 6.0
@@ -227,6 +228,19 @@ def piece_bytes(pieces: DataFrame, index: DataFrame) -> DataFrame:
     return at.select(*keys, "start", "end", (F.col("__to") - F.col("__from")).alias("bytes"))
 
 
+def opening_heads(segs: DataFrame, keyframes: DataFrame, index: DataFrame, starts: DataFrame) -> DataFrame:
+    """(title, start_at, n, head): the pieces (start, bytes) of segment ``n`` that a session from ``start_at`` gets, in order.
+
+    They begin with the piece that a player resumes in. A segment holds few keyframes, so a head is a short array; what
+    follows is the title's own plan from the next segment on. No row where the title has no usable index.
+    """
+    pieces = piece_bytes(cut_lineage(opening_pieces(segs, keyframes, starts)), index)
+    point = F.greatest(F.col("start_at") - F.lit(START_SLACK), F.lit(0.0)) + F.lit(SNAP)
+    packed = pieces.groupBy("title", "start_at", "n").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__all"))
+    later = F.filter("__all", lambda p, i: (p["start"] > point) | F.get("__all", i + 1).isNull() | (F.get("__all", i + 1)["start"] > point))
+    return packed.select("title", "start_at", "n", later.alias("head"))
+
+
 def retained(gops: DataFrame, segs: DataFrame, wants: DataFrame, ahead: int = AHEAD_SEGMENTS) -> DataFrame:
     """``gops`` with ``kept``: those in the window around the segment asked for, or ahead of it by the current job.
 

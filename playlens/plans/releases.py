@@ -10,7 +10,7 @@ from playlens.operators.ordered import Scan, scan
 from playlens.plans import carriers as c
 from playlens.plans.carriers import with_
 from playlens.plans.registry import query
-from playlens.plans.timeline import segments
+from playlens.plans.timeline import _DEMAND, segments
 from playlens.session import cut_lineage
 
 _c = F.col
@@ -611,31 +611,36 @@ def drop_excluded(spark, sf):
 
 # The link each ranked candidate asks for. Releases of every fourteenth timeline have no byte index.
 _NEEDS = {
-    "cand": """SELECT r.request_id, r.release_id, r.rank, r.fit, r.named, r.start_at, r.player, r.max_bitrate, r.no_transcode, r.fits_only,
+    "costing": """SELECT r.request_id, r.release_id, r.rank, r.fit, r.named, r.start_at, r.player, r.max_bitrate, r.no_transcode, r.fits_only,
         r.size_bytes AS listed_size, m.*, dur.duration, coalesce(v.bytes, r.size_bytes) AS size,
         CASE WHEN r.start_at > 0 AND r.start_at < dur.duration THEN r.start_at ELSE 0 END AS eff,
         CASE r.player WHEN 'hls.js' THEN 120 WHEN 'cast' THEN 60 ELSE 30 END AS secs,
         CASE r.player WHEN 'hls.js' THEN 150000000 WHEN 'cast' THEN 50000000 END AS cap
         FROM ranked r JOIN (SELECT * FROM media) m USING (release_id) LEFT JOIN dur ON dur.title = m.timeline
         LEFT JOIN delivered v USING (request_id, release_id)""",
-    "firsts": """SELECT c.*, (SELECT max(n) FROM segs s WHERE s.title = c.timeline AND s.start <= greatest(eff - 1, 0) + 0.05) AS first
-        FROM cand c""",
-    "kinds": "SELECT DISTINCT timeline, first, secs, cap, size, max_bitrate FROM firsts WHERE timeline % 14 <> 0",
-    "pre": """SELECT s.title, s.n, s.start, 8 * s.bytes AS b, 8 * sum(s.bytes) OVER (PARTITION BY s.title ORDER BY n) AS c,
-        sum(s.bytes) OVER (PARTITION BY s.title) AS tot FROM segbytes s""",
-    "shapes": "SELECT DISTINCT timeline, first, secs, cap, size FROM kinds",
-    "st": """SELECT d.timeline, d.first, d.secs, d.cap, d.size, max(greatest((k.c - j.c + j.b) * f / (secs + k.start - j.start),
+    # Each start has its own plan, the segment it opens in split.
+    "starts": "SELECT DISTINCT timeline AS title, eff AS start_at FROM costing WHERE timeline % 14 <> 0",
+    **{name: sql for name, sql in _DEMAND.items() if name != "starts"},
+    "firsts": """SELECT c.*, (SELECT max(n) FROM sized s WHERE s.title = c.timeline AND s.start_at = c.eff
+        AND s.start <= greatest(eff - 1, 0) + 0.05) AS first FROM costing c""",
+    "kinds": "SELECT DISTINCT timeline, eff, first, secs, cap, size, max_bitrate FROM firsts WHERE timeline % 14 <> 0",
+    "pre": """SELECT s.title, s.start_at, s.n, s.start, 8 * s.bytes AS b, 8 * sum(s.bytes) OVER (PARTITION BY s.title, s.start_at ORDER BY n) AS c,
+        t.total AS tot FROM sized s JOIN total t USING (title)""",
+    "shapes": "SELECT DISTINCT timeline, eff, first, secs, cap, size FROM kinds",
+    "st": """SELECT d.timeline, d.eff, d.first, d.secs, d.cap, d.size, max(greatest((k.c - j.c + j.b) * f / (secs + k.start - j.start),
         CASE WHEN cap IS NOT NULL AND k.start > j.start THEN ((k.c - j.c + j.b) * f - cap * 8.0) / (k.start - j.start) ELSE 0 END)) AS s
-        FROM (SELECT x.*, coalesce(x.size / y.tot, 1) AS f FROM shapes x JOIN (SELECT DISTINCT title, tot FROM pre) y ON y.title = x.timeline) d
-        JOIN pre j ON j.title = d.timeline AND j.n >= first JOIN pre k ON k.title = d.timeline AND k.n >= j.n GROUP BY ALL""",
-    "op": """SELECT d.timeline, d.first, d.secs, d.cap, d.size, d.max_bitrate, max((k.c - f0.c + f0.b) * coalesce(d.size / k.tot, 1)
+        FROM (SELECT x.*, coalesce(x.size / y.total, 1) AS f FROM shapes x JOIN total y ON y.title = x.timeline) d
+        JOIN pre j ON j.title = d.timeline AND j.start_at = d.eff AND j.n >= first
+        JOIN pre k ON k.title = d.timeline AND k.start_at = d.eff AND k.n >= j.n GROUP BY ALL""",
+    "opens": """SELECT d.timeline, d.eff, d.first, d.secs, d.cap, d.size, d.max_bitrate, max((k.c - f0.c + f0.b) * coalesce(d.size / k.tot, 1)
         / (10 + k.start - f0.start)) AS o, max((k.c - f0.c + f0.b) * coalesce(d.size / k.tot, 1) / d.max_bitrate - (k.start - f0.start)) AS w
-        FROM kinds d JOIN pre f0 ON f0.title = d.timeline AND f0.n = first JOIN pre k ON k.title = d.timeline AND k.n >= first GROUP BY ALL""",
-    "costs": """SELECT op.*, st.s FROM op JOIN st ON st.timeline = op.timeline AND st.first = op.first AND st.secs = op.secs
-        AND st.cap IS NOT DISTINCT FROM op.cap AND st.size IS NOT DISTINCT FROM op.size""",
+        FROM kinds d JOIN pre f0 ON f0.title = d.timeline AND f0.start_at = d.eff AND f0.n = first
+        JOIN pre k ON k.title = d.timeline AND k.start_at = d.eff AND k.n >= first GROUP BY ALL""",
+    "costs": """SELECT o.*, st.s FROM opens o JOIN st ON st.timeline = o.timeline AND st.eff = o.eff AND st.first = o.first AND st.secs = o.secs
+        AND st.cap IS NOT DISTINCT FROM o.cap AND st.size IS NOT DISTINCT FROM o.size""",
     "needs": """SELECT f.*, CASE WHEN k.s IS NOT NULL THEN cast(floor(greatest(k.s, k.o)) AS bigint) WHEN duration > 0 THEN
         cast(floor(floor(f.size * 8 / duration) * 1.5) AS bigint) END AS need, CASE WHEN k.s <= f.max_bitrate THEN greatest(k.w, 0) END AS prebuffer
-        FROM firsts f LEFT JOIN costs k ON k.timeline = f.timeline AND k.first = f.first AND k.secs = f.secs AND k.cap IS NOT DISTINCT FROM f.cap
+        FROM firsts f LEFT JOIN costs k ON k.timeline = f.timeline AND k.eff = f.eff AND k.first = f.first AND k.secs = f.secs AND k.cap IS NOT DISTINCT FROM f.cap
         AND k.size IS NOT DISTINCT FROM f.size AND k.max_bitrate IS NOT DISTINCT FROM f.max_bitrate""",
     "withp": "SELECT n.* , q.* EXCLUDE (player_id, player, max_bitrate) FROM needs n JOIN requests r USING (request_id) JOIN players q ON q.player_id = r.owner",
 }
@@ -669,7 +674,7 @@ _CHOICE = {
         WHEN 'copy_least_need' THEN d END""",
 }
 _CHOOSE = with_(
-    "rel", "media", "requests", "players", "segbytes", **_WANTS, **_AUDIO, **_NEEDS, **judged("withp"), **_CHOICE
+    "rel", "media", "requests", "players", "segbytes", "tl", **_WANTS, **_AUDIO, **_NEEDS, **judged("withp"), **_CHOICE
 )
 
 
@@ -699,11 +704,16 @@ def chosen(spark, sf, offered_rows=None):
     )
     # A catalogue's segments are a small table next to its keyframes; planned and costed once, they are kept.
     segs = cut_lineage(segments(spark, sf))
-    starts = rows.select("title", "t").distinct()
+    starts = cut_lineage(rows.select("title", "t").distinct())
     first = tl.segment_at(starts, segs, shift=tl.START_SLACK).withColumnRenamed("n", "first")
-    rows = rows.join(first, ["title", "t"], "left")
-    costed = cut_lineage(tl.segment_bytes(segs, c.byte_index(spark, sf)).where(_c("title") % 14 != 0))
-    needs = link.link_need(rows, costed).drop("timeline")
+    index = c.byte_index(spark, sf).where(_c("title") % 14 != 0)
+    costed = cut_lineage(tl.segment_bytes(segs, index))
+    # A session's plan is the title's, but for the segment that it opens in.
+    heads = tl.opening_heads(segs, c.timeline(spark, sf), index, starts.withColumnRenamed("t", "start_at"))
+    heads = heads.withColumnsRenamed({"start_at": "t", "n": "first"})
+    opened = cut_lineage(first.join(heads, ["title", "t", "first"], "left"))
+    rows = rows.join(opened, ["title", "t"], "left")
+    needs = link.link_need(rows, costed).drop("timeline", "head")
     full = rel.judge(needs.join(rel.probe_facts(c.media(spark, sf)), "release_id")).withColumn(
         "opens", _c("container").isin("matroska", "mp4") & (_c("video") != "mpeg4")
     )

@@ -120,6 +120,36 @@ def test_stretch_rate_is_the_worst_of_all_pairs(spark):
         assert got.startup_delay == pytest.approx(wait, rel=1e-9)
 
 
+def test_a_session_is_costed_by_the_plan_it_gets(spark):
+    k, d = frames(spark, KFS, 30.021)
+    rng = random.Random(11)
+    at, index = 0, []
+    for t in KFS:
+        index.append((1, t, at))
+        at += rng.choice([1_000, 40_000, 90_000])
+    index = spark.createDataFrame([*index, (1, 30.0, at)], "title bigint, t double, pos bigint")
+    starts = spark.createDataFrame([(1, t) for t in (0.0, 6.0, 9.1, 14.0, 18.8, 25.0, 29.9)], "title bigint, start_at double")
+    segs = tl.plan_segments(k, d)
+    whole = tl.segment_bytes(segs, index)
+    pieces = tl.piece_bytes(tl.opening_pieces(segs, k, starts), index)
+    plans = {}
+    for r in tl.split_opening(whole, pieces, starts).orderBy("n").collect():
+        plans.setdefault(r.start_at, []).append((r.start, r.bytes))
+    heads = tl.opening_heads(segs, k, index, starts).withColumnRenamed("n", "first")
+    shape = heads.select("*", *[F.lit(v).cast("double").alias(n) for n, v in (("buffer_secs", 9), ("buffer_bytes", 70_000), ("size", None), ("rate", 1e6))])
+    got = {r.start_at: r for r in link.link_rates(shape, whole).collect()}
+    assert sorted(got) == sorted(plans) and any(len(r.head) > 1 for r in got.values())
+    for start, plan in plans.items():
+        lo = max(i for i, (t, _) in enumerate(plan) if t <= max(start - 1, 0) + 0.05)
+        t, b = zip(*plan[lo:])
+        sums = [(8 * sum(b[j : i + 1]), t[i] - t[j]) for j in range(len(t)) for i in range(j, len(t))]
+        stretch = max(max(bits / (9 + span), (bits - 8 * 70_000) / span if span else 0) for bits, span in sums)
+        opening = max(8 * sum(b[: i + 1]) / (10 + t[i] - t[0]) for i in range(len(t)))
+        wait = max(8 * sum(b[: i + 1]) / 1e6 - (t[i] - t[0]) for i in range(len(t)))
+        assert got[start].stretch_rate == pytest.approx(stretch) and got[start].needed_rate == pytest.approx(max(stretch, opening))
+        assert got[start].startup_delay == pytest.approx(max(wait, 0)), start
+
+
 def test_scans_equal_plain_windows_on_a_hot_key(spark):
     rng = random.Random(3)
     rows = [(1 if rng.random() < 0.8 else rng.randrange(2, 6), i, rng.random() * 100, rng.choice([None, i])) for i in range(500)]
