@@ -178,13 +178,13 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def _other_script(block: Block) -> bool:
-    return 2 * len(_LATIN.findall(block.text)) < sum(map(str.isalpha, block.text))
+    return not block.text.isascii() and 2 * len(_LATIN.findall(block.text)) < sum(map(str.isalpha, block.text))
 
 
 def long_unlinked(block: Block) -> bool:
     """Whether the block has the length of a paragraph and few links. An ideograph tells as much as three letters."""
     letters = "".join(block.text.split())
-    weight = len(letters) + 2 * sum("⺀" <= ch <= "힣" for ch in letters)
+    weight = len(letters) + (0 if letters.isascii() else 2 * sum("⺀" <= ch <= "힣" for ch in letters))
     return weight >= SHORT and block.linked <= MAX_LINKS * len(letters)
 
 
