@@ -21,3 +21,15 @@ def test_requests_meet_releases_last(spark, name):
     assert "title_id" in joins[0], joins[0]
     assert "BroadcastHashJoin [title_id" not in physical and "BroadcastHashJoin [owner" not in physical
     assert "BroadcastHashJoin [release_id" not in physical
+
+
+def test_sequences_travel_as_one_number_a_point(spark):
+    from playlens.operators import passages as pa
+
+    points = spark.range(40).selectExpr("id % 2 AS seq_id", "id AS pos", "4294967295 - id AS point")
+    pairs = spark.createDataFrame([(1, 0, 1)], "pair_id long, a long, b long")
+    paired = pa._paired(pairs, points)
+    assert {f.name: f.dataType.simpleString() for f in paired.schema if f.name.startswith("s_")} == {"s_a": "array<bigint>", "s_b": "array<bigint>"}
+    assert not [x for x in paired.columns if x.startswith("po")]
+    row = paired.first()
+    assert [x >> 32 for x in row.s_a] == list(range(0, 40, 2)) and [x & 0xFFFFFFFF for x in row.s_a] == [2**32 - 1 - i for i in range(0, 40, 2)]
