@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playlens.llm import decontaminate, exact, packing, quality, similar
+from playlens.llm import decontaminate, exact, packing, quality, simhash, similar
 from playlens.llm.common import store, table
 
 
@@ -36,8 +36,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word similarity of 0.8 or more) the document with the smallest id."""
-    groups = similar.near_duplicates(docs)
+    """Of each group of near-duplicates the document with the smallest id: texts link by their SimHash (op2: three words, three
+    bits) and, as three bits miss most texts that are alike, by five-word similarity of 0.8 or more."""
+    groups = similar.near_duplicates(docs, more=simhash.text_links)
     ids = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 

@@ -197,6 +197,16 @@ def links_of(nodes: DataFrame, most: int = MOST) -> DataFrame:
     return dealt.mapInPandas(_meetings, "a long, b long").distinct()
 
 
+def text_links(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(a, b): links that connect the nodes of ``texts`` (node, text) as near fingerprints would; equal ones meet at their smallest node."""
+    prints = store(texts.select("node", _print_column(F.col("text"), size).alias("fp")), "prints")
+    heads = store(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = prints.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    one, two = heads.toDF("a", "head_a"), heads.toDF("b", "head_b")
+    near = links_of(heads.select("fp")).join(one, "a").join(two, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.unionByName(near)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (a, b) reaches; nodes without links are left out."""
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")

@@ -18,7 +18,7 @@ Texts are one node if their words are the same. Texts without words are one node
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,11 +186,16 @@ def links_of(texts: DataFrame) -> DataFrame:
     return links.unionByName(verified(candidates(first)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: the smallest doc_id in reach by links of similar texts."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id in reach by links of similar texts, and by those that ``more`` finds.
+
+    ``more`` gives links (a, b) between the nodes of distinct texts (node, text).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("node", _node_column(F.col("text")))
     named = store(rows.select("doc_id", "node"), "nodes")
-    found = components(links_of(rows.groupBy("node").agg(F.first("text").alias("text"))))
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
+    links = links_of(texts)
+    found = components(links if more is None else more(texts).unionByName(links))
     rooted = named.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(rooted.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
