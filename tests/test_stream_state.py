@@ -43,3 +43,32 @@ def test_verdicts_are_aggregated_by_spark(spark, tmp_path, monkeypatch):
     found = stream(spark, tmp_path, [[(1, DAY, 1, "a")]], "key long, at long, event_id long, why string")
     assert [tuple(r) for r in jobs.stream_verdicts(found, "1 hour").collect()] == [(1, DAY, "a")]
     assert len(plans) == 1 and "Python" not in plans[0] and "InPandas" not in plans[0]
+
+
+BODY = '{"stats":{"browser":"b"}}'
+
+
+def test_first_reports_over_several_batches(spark, tmp_path):
+    batches = [
+        [(1, 5 * DAY, 10, BODY), (1, 4 * DAY, 11, BODY), (2, 4 * DAY, 20, BODY), (None, 4 * DAY, 30, BODY)],
+        # An earlier report that comes later is the third one taken; a session without an id is a session.
+        [(1, 5 * DAY + 5, 12, BODY), (1, 5 * DAY, 13, BODY), (None, 5 * DAY, 32, BODY), (None, 5 * DAY, 31, BODY), (None, 5 * DAY, 33, BODY)],
+        [(1, 6 * DAY, 14, BODY), (2, 30 * DAY, 21, BODY), (3, 30 * DAY, 40, "not json")],
+        # Session 1 was forgotten a week after its last report, and starts anew, whatever the batches; 2 was not.
+        [(1, 31 * DAY, i, BODY) for i in (15, 16, 17, 18)] + [(2, 31 * DAY, i, BODY) for i in (22, 23, 24)],
+    ]
+    bodies = stream(spark, tmp_path, batches, "session long, at long, event_id long, body string")
+    got = sorted((r.session or 0, r.event_id) for r in jobs.stream_reports(bodies, "1 hour").collect())
+    assert got == [(0, 30), (0, 31), (0, 32), (1, 10), (1, 11), (1, 13), (1, 15), (1, 16), (1, 17), (2, 20), (2, 21), (2, 22)]
+
+
+def test_sessions_share_rows_of_state(spark, tmp_path, monkeypatch):
+    plans = []
+    drained = jobs.drain_batches
+    monkeypatch.setattr(jobs, "drain_batches", lambda df, *a: plans.append(df._jdf.queryExecution().logical().toString()) or drained(df, *a))
+    monkeypatch.setattr(jobs, "SESSION_BUCKETS", 2, raising=False)
+    rows = [(s, DAY + i, 10 * s + i, BODY) for s in range(40) for i in range(5)]
+    bodies = stream(spark, tmp_path, [rows[:90], rows[90:]], "session long, at long, event_id long, body string")
+    got = sorted((r.session, r.event_id) for r in jobs.stream_reports(bodies, "1 hour").collect())
+    assert got == [(s, 10 * s + i) for s in range(40) for i in range(3)]
+    assert "'bucket" in plans[0] and "TransformWithState" not in plans[0]
