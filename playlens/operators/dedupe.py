@@ -62,7 +62,8 @@ def end_hash(files: DataFrame) -> DataFrame:
 
 
 def end_hash_of_files(files: DataFrame) -> DataFrame:
-    """:func:`end_hash` of files that stay where they are: ``files`` is (path, length) as ``sources.readers.list_files`` lists them.
+    """:func:`end_hash` of files that stay where they are: ``files`` is (path, length) as ``sources.writers.write_files``
+    gives or ``sources.readers.list_files`` lists them.
 
     Each task opens its files and reads their two ends, 128 KiB of however long a file; shorter ones are read whole, an empty
     one has a null key (Spark lists no empty files). The length is the one found when the file is opened.

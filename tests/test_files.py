@@ -66,3 +66,19 @@ def test_nested_probes_break_the_rules_of_flat_ones(spark):
     assert got == want and want["fine"] == want["nothing"] == want["one"] == [] and all(want[k] for k in ("late", "before", "falling", "tracks"))
     nulls = rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in ("keyframes", "byte_index", "audio", "subs")}).where("duration = 3")
     assert [r.failed for r in rel.validate_nested(nulls).collect()] == [[]]
+
+
+def test_written_files_need_no_listing(spark):
+    contents = {"empty": b"", "short": b"abc", "again": b"abc", "long": os.urandom(3 * dd.HASH_CHUNK + 1)}
+    path = shared_dir(spark, "files")
+    written = wr.write_files(spark.createDataFrame([(n, bytearray(b)) for n, b in contents.items()], "name string, content binary"), path)
+    assert {(r.path, r.length) for r in written.collect()} == {(f"{path}/{n}", len(b)) for n, b in contents.items()}
+    listed = {os.path.basename(r.path): r.hash for r in dd.end_hash_of_files(rd.list_files(spark, path)).collect()}
+    assert {os.path.basename(r.path): r.hash for r in dd.end_hash_of_files(written).collect()} == listed | {"empty": None}
+
+
+def test_stored_texts_are_not_listed_by_the_driver(spark):
+    from __spark_entry__ import queries
+
+    found = queries()["end_hash_duplicates"](spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
