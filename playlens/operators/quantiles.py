@@ -27,7 +27,15 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], values: Sequence[str], s
     the rank gives narrower bounds: its own least and greatest value. It ends when they are one. Rows are never sorted, a
     group of any size is spread over all tasks, and what is kept of a group is ``bins`` counts a quantile at most.
     """
-    by, keys = list(by), [*by, "__value", "__name"]
+    by = list(by)
+    wide, names = _narrowed(rows, by, values, shares, bins), [f"{v}_{k}" for v in values for k in shares]
+    groups = rows.select(*by).distinct()
+    return groups.alias("g").join(wide.alias("w"), _same("g", "w", by), "left").select(*[F.col(f"g.{b}").alias(b) for b in by], *[F.col(f"w.{n}").alias(n) for n in names])
+
+
+def _narrowed(rows: DataFrame, by: list[str], values: Sequence[str], shares: Mapping[str, float], bins: int = BINS) -> DataFrame:
+    """The quantiles of the groups that have values; ``rows`` are read once."""
+    keys = [*by, "__value", "__name"]
     pairs = F.array(*[F.struct(F.lit(v).alias("__value"), F.col(v).cast("double").alias("__x")) for v in values])
     held = rows.select(*by, F.inline(pairs)).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
     held = cut_lineage(held.groupBy(*by, "__value", "__x").agg(F.count("*").alias("__n")))
@@ -54,15 +62,13 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], values: Sequence[str], s
         upto = counts.withColumn("__upto", F.sum("__n").over(running))
         hit = upto.where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
         sought = hit.select(*keys, "__lo", "__hi", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"))
-    wide = done.groupBy(*by).agg(
+    return done.groupBy(*by).agg(
         *[F.max(F.when((F.col("__value") == v) & (F.col("__name") == k), F.col("__lo"))).alias(f"{v}_{k}") for v in values for k in shares]
     )
-    groups, names = rows.select(*by).distinct(), [f"{v}_{k}" for v in values for k in shares]
-    return groups.alias("g").join(wide.alias("w"), _same("g", "w", by), "left").select(*[F.col(f"g.{b}").alias(b) for b in by], *[F.col(f"w.{n}").alias(n) for n in names])
 
 
 def with_quantiles(totals: DataFrame, rows: DataFrame, by: Sequence[str], values: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
-    """``totals`` (one row a group of ``by``) with the exact quantiles of ``rows``."""
-    found = exact_quantiles(rows, by, values, shares)
+    """``totals`` (one row a group of ``by``) with the exact quantiles of ``rows``, which are read once: the groups are those of ``totals``."""
+    found = _narrowed(rows, list(by), values, shares)
     names = [c for c in found.columns if c not in by]
     return totals.alias("t").join(found.alias("q"), _same("t", "q", list(by)), "left").select("t.*", *[F.col(f"q.{n}").alias(n) for n in names])

@@ -33,3 +33,18 @@ def test_sequences_travel_as_one_number_a_point(spark):
     assert not [x for x in paired.columns if x.startswith("po")]
     row = paired.first()
     assert [x >> 32 for x in row.s_a] == list(range(0, 40, 2)) and [x & 0xFFFFFFFF for x in row.s_a] == [2**32 - 1 - i for i in range(0, 40, 2)]
+
+
+def test_clients_reports_are_parsed_once(spark):
+    logical, _ = plan(spark, "stats_by_client")
+    assert "parse_json" not in logical, "the plan after the stored columns parses bodies again"
+
+
+def test_quantiles_come_to_their_totals(spark):
+    from playlens.operators.quantiles import with_quantiles
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0)], "g string, x double")
+    found = with_quantiles(rows.groupBy("g").count(), rows, ["g"], ["x"], {"p50": 0.5})
+    assert {(r.g, r["count"], r.x_p50) for r in found.collect()} == {("a", 2, 1.0), ("b", 1, None), (None, 1, 2.0)}
+    # The rows' table is met by the totals only; what was narrowed stands by itself.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Distinct") == 0
