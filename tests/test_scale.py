@@ -37,7 +37,7 @@ def test_sequences_travel_as_one_number_a_point(spark):
 
 def test_clients_reports_are_parsed_once(spark):
     logical, _ = plan(spark, "stats_by_client")
-    assert "parse_json" not in logical, "the plan after the stored columns parses bodies again"
+    assert "event_id" not in logical, "the plan after the stored columns reads bodies again"
 
 
 def test_quantiles_come_to_their_totals(spark):
@@ -46,5 +46,5 @@ def test_quantiles_come_to_their_totals(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0)], "g string, x double")
     found = with_quantiles(rows.groupBy("g").count(), rows, ["g"], ["x"], {"p50": 0.5})
     assert {(r.g, r["count"], r.x_p50) for r in found.collect()} == {("a", 2, 1.0), ("b", 1, None), (None, 1, 2.0)}
-    # The rows' table is met by the totals only; what was narrowed stands by itself.
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Distinct") == 0
+    # The rows are met by the totals only; what was narrowed stands by itself.
+    assert len(re.findall(r"\bJoin \w", found._jdf.queryExecution().optimizedPlan().toString())) == 1
