@@ -48,3 +48,23 @@ def test_quantiles_come_to_their_totals(spark):
     assert {(r.g, r["count"], r.x_p50) for r in found.collect()} == {("a", 2, 1.0), ("b", 1, None), (None, 1, 2.0)}
     # The rows are met by the totals only; what was narrowed stands by itself.
     assert len(re.findall(r"\bJoin \w", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+@pytest.mark.parametrize("name, key, n", [("validate_media", "release_id", 7), ("retained_gops", "title", 3), ("ready_segments", "coalesce(title", 1)])
+def test_small_sides_are_hashed_where_they_lie(spark, name, key, n):
+    # Every merge of these would sort all rows of a task once more, and keep them.
+    _, physical = plan(spark, name)
+    assert physical.count(f"ShuffledHashJoin [{key}") >= n, physical
+    assert name != "validate_media" or "SortMergeJoin [release_id" not in physical
+
+
+def test_the_window_of_kept_gops_ends_with_its_title(spark):
+    from playlens.operators import timeline as tl
+
+    segs = spark.createDataFrame([(t, n, 6.0 * n, 6.0 * n + 6) for t in (1, 2) for n in range(4 if t == 1 else 20)], "title long, n long, start double, end double")
+    gops = spark.createDataFrame([(t, j, float(s), 1.0) for t in (1, 2, 3) for j, s in ((0, 0), (0, 13), (0, 40), (1, 80), (2, 90))], "title long, job long, start double, dur double")
+    wants = spark.createDataFrame([(1, 3, 2), (2, 3, 2)], "title long, n long, current_job long")
+    kept = {(r.title, r.start): r.kept for r in tl.retained(gops, segs, wants).collect()}
+    assert [kept[1, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0)] == [False, True, False, False, True]
+    assert [kept[2, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0)] == [False, True, True, False, True]
+    assert all(kept[3, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0))
