@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("node", _node_column(F.col("text")))
     named = store(rows.select("doc_id", "node"), "nodes")
-    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
+    # Stored: three steps read the texts, each by one Python worker a task, and none works out their nodes again.
+    texts = store(rows.groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = links_of(texts)
     found = components(links if more is None else more(texts).unionByName(links))
     rooted = named.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -35,3 +35,25 @@ def test_the_stage_links_near_fingerprints_too(spark):
     only = cp.similar.near_duplicates(table)
     alone = {r.doc_id for r in only.collect() if r.doc_id == r.component_id}
     assert alone - kept, "no document that only its fingerprint links"
+
+
+def test_no_step_holds_two_python_workers_a_task(spark, monkeypatch):
+    plans = {}
+
+    def recorded(module):
+        inner = module.store
+
+        def store(df, purpose):
+            plans.setdefault(purpose, []).append(df._jdf.queryExecution().executedPlan().toString())
+            return inner(df, purpose)
+
+        monkeypatch.setattr(module, "store", store)
+
+    recorded(cp.similar)
+    recorded(sh)
+    text = " ".join(f"w{i}" for i in range(200))
+    table = spark.createDataFrame([(1, text), (2, text + " more"), (3, "three other words")], "doc_id long, text string")
+    assert {r.doc_id for r in cp.near_stage(spark, table, SF).collect()} == {1, 3}
+    python = {p: max(x.count("ArrowEvalPython") + x.count("MapInPandas") for x in own) for p, own in plans.items()}
+    # A worker that is started stays, with its memory, as long as the executor is busy.
+    assert {"profiles", "shingles", "prints"} <= {p for p, n in python.items() if n == 1} and max(python.values()) == 1, python
