@@ -17,6 +17,7 @@ Texts without words (null, empty) have fingerprint zero and are linked like othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -161,9 +162,11 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(rest["meeting"].to_numpy(), rest["fp"].to_numpy())
 
 
-def _split(met: DataFrame, most: int, keys: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``met`` (meeting, fp, rest) in meetings of at most ``most`` nodes, and the others under each of ``keys`` (of n too)."""
+def _split(met: DataFrame, most: int, keys: Column) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``met`` (meeting, fp, rest) in meetings of at most ``most`` nodes, and the others, if any, under each of ``keys`` (of n too)."""
     large = store(met.groupBy("meeting").agg(F.count("*").alias("n")).filter(F.col("n") > most), "large")
+    if large.isEmpty():
+        return met, None
     # At most one large meeting for every ``most`` rows.
     large = F.broadcast(large)
     return met.join(large, "meeting", "left_anti"), met.join(large, "meeting").withColumn("meeting", F.explode(keys)).drop("n")
@@ -184,11 +187,13 @@ def meetings_of(nodes: DataFrame, most: int = MOST) -> DataFrame:
     met = nodes.select("fp", F.inline(F.array(*pairs)))
     again = F.array(*(F.xxhash64("meeting", F.lit(at), F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << width) - 1))) for at, width in PARTS))
     small, met = _split(met, most, again)
+    if met is None:
+        return small.select("meeting", "fp")
     slices = f"CAST(ceil(2 * n / {most}) AS INT)"
     own = f"pmod(xxhash64(fp), {slices})"
     tiles = F.expr(f"transform(filter(sequence(0, {slices} - 1), j -> j <> {own}), j -> xxhash64(meeting, least(CAST(j AS BIGINT), {own}), greatest(CAST(j AS BIGINT), {own})))")
     middle, met = _split(store(met, "met-again"), most, tiles)
-    return small.unionByName(middle).unionByName(met).select("meeting", "fp")
+    return reduce(DataFrame.unionByName, [x for x in (small, middle, met) if x is not None]).select("meeting", "fp")
 
 
 def links_of(nodes: DataFrame, most: int = MOST) -> DataFrame:
@@ -213,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == state:
+        if seen == state or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
         # Large star: every larger neighbour of a node to the smallest node around it.

@@ -7,12 +7,13 @@ with probability (1 - 0.8^5)^40 = 1.3e-7, one that is more alike still less. Eve
 similarity of the shingle sets.
 
 In each meeting all texts are compared with the smallest node, if 192 single bits of the minima don't speak against the
-similarity (six standard deviations): each text first with the one it meets most often so, then one text for each two
-components that still meet, then all that are in different ones. Where a meeting stays parted, its texts are joined by
-prefixes: a text's shingles are put in one order, rare ones first, and of two texts that are similar enough the smaller has
-one of its first ninth in common with the other's first fifth. So texts of one template, alike but not enough, meet by their
-own parts only, not all with all, and nothing is lost. Pairs of different components that meet there are verified too, those with few different bits
-first, as what they connect needs no other pair.
+similarity (six standard deviations): each text first with the one it meets most often so, then those that are still in
+different components. Where a meeting stays parted, its texts are joined by prefixes: a text's shingles are put in one order,
+rare ones first, and of two texts that are similar enough the smaller has one of its first ninth in common with the other's
+first fifth. So texts of one template, alike but not enough, meet by their own parts only, not all with all, and nothing is
+lost. Pairs of different components that meet there are verified too, those with few different bits first, as what they
+connect needs no other pair. A step that has nothing left to do is not run: on small tables the driver's memory is taken by
+the threads and plans of jobs, not by rows.
 Texts are one node if their words are the same. Texts without words are one node, and rows that repeat a doc_id are kept.
 """
 
@@ -126,8 +127,8 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return store(by_prefix(sets.join(members.select("node"), "node", "left_semi")).join(members, "node"), "prefixes")
 
 
-def candidates(first: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """(a, b): pairs of prefix rows with different roots that may be similar and differ in at most ``most`` bits."""
+def candidates(first: DataFrame, most: int = MOST_BITS, least: int = 0) -> DataFrame:
+    """(a, b): pairs of prefix rows with different roots that may be similar and differ in ``least`` to ``most`` bits."""
     differ = " + ".join(f"bit_count(o.bits[{i}] ^ m.bits[{i}])" for i in range(BITS // 64))
     # The first shingle that two sets share has at least their common ones from there on, in both: 4/9 of both sizes together,
     # so 8/9 of the smaller size; the smaller set of a pair (o) meets by its first ninth only.
@@ -135,7 +136,7 @@ def candidates(first: DataFrame, most: int = MOST_BITS) -> DataFrame:
     short = first.filter((F.col("size") - F.col("at")) * both >= F.col("size") * 2 * SHARE[0])
     may = f"""o.shingle = m.shingle AND o.root <> m.root AND (o.size < m.size OR (o.size = m.size AND o.node < m.node))
         AND o.size * {SHARE[1]} >= m.size * {SHARE[0]}
-        AND least(o.size - o.at, m.size - m.at) * {both} >= (o.size + m.size) * {SHARE[0]} AND {differ} <= {most}"""
+        AND least(o.size - o.at, m.size - m.at) * {both} >= (o.size + m.size) * {SHARE[0]} AND {differ} BETWEEN {least} AND {most}"""
     met = short.alias("o").join(first.alias("m"), F.expr(may))
     return met.select(F.greatest("o.node", "m.node").alias("a"), F.least("o.node", "m.node").alias("b")).distinct()
 
@@ -156,34 +157,41 @@ def links_of(texts: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-        likely = pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
-        return store(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verified, "a long, b long"), "similar")
+        return store(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verified, "a long, b long"), "similar")
 
-    def parted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The components of ``links``, and the rows of ``shared`` whose node and head are in two of them (root, top)."""
-        found = store(components(links), "components")
+    def likely(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
+
+    def parted(found: DataFrame) -> DataFrame:
+        """The rows of ``shared`` whose node and head are in two components of ``found``."""
         # A head is the smallest of its meeting, but maybe not of its component.
         tops = found.select(F.col("node").alias("head"), F.col("root").alias("top"))
         both = shared.join(tops, "head", "left").join(found, "node", "left")
-        both = both.select("meeting", "node", "head", F.coalesce("root", "node").alias("root"), F.coalesce("top", "head").alias("top"))
-        return found, store(both.filter("root <> top"), "parted")
+        return store(both.filter(F.coalesce("root", "node") != F.coalesce("top", "head")).select("meeting", "node", "head"), "parted")
 
     met = shared.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("n"))
-    links = verified(met.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("n", "head")).alias("b")))
-    _, left = parted(links)
-    links = links.unionByName(verified(left.groupBy("root", "top").agg(F.min(F.struct("node", "head")).alias("p")).select(F.col("p.node").alias("a"), F.col("p.head").alias("b"))))
-    _, left = parted(links)
-    links = links.unionByName(verified(left.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()))
-    found, left = parted(links)
+    links = verified(likely(met.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("n", "head")).alias("b"))))
+    found = components(links)
+    left = parted(found)
+    # Each step that finds nothing new, or nothing that is still parted, spares those after it.
+    if left.isEmpty():
+        return links
+    pairs = left.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    new = verified(likely(pairs))
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        found = components(links)
+        left = parted(found)
     rooted = slim.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_nodes = shared.join(left.select("meeting").distinct(), "meeting", "left_semi").select("node").distinct()
     members = store(rooted.join(open_nodes, "node", "left_semi"), "members")
     first = prefixes(members, sets)
     # Pairs that are most likely similar first: what they connect needs no other pair.
-    links = links.unionByName(verified(candidates(first, CLOSE_BITS)))
-    found = store(components(links), "components")
-    first = first.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return links.unionByName(verified(candidates(first)))
+    new = verified(candidates(first, CLOSE_BITS))
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        first = first.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return links.unionByName(verified(candidates(first, least=CLOSE_BITS + 1)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
