@@ -68,3 +68,51 @@ def test_the_window_of_kept_gops_ends_with_its_title(spark):
     assert [kept[1, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0)] == [False, True, False, False, True]
     assert [kept[2, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0)] == [False, True, True, False, True]
     assert all(kept[3, s] for s in (0.0, 13.0, 40.0, 80.0, 90.0))
+
+
+def test_candidates_are_ranked_when_they_are_narrow(spark, monkeypatch):
+    from playlens.plans import releases as plans
+
+    kept, limits = [], []
+
+    def stored(df, purpose):
+        limits.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+        kept.append(df)
+        return df
+
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    monkeypatch.setattr(plans, "stored", stored)
+    plans.chosen(spark, SF)
+    # A request's candidates are sorted once, without tracks, probes or capabilities, by methods that the JVM compiles.
+    nodes, windows = [kept[0]._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += below
+        if node.nodeName() == "Window" and "request_id" in node.partitionSpec().toString():
+            windows.append(below[0].output().toString())
+    assert len(windows) == 1 and "rank" not in windows[0] and not re.search("picks|probe|vp9|named_profile|__leads", windows[0]), windows
+    assert limits == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
+def test_sizes_of_a_shape_are_costed_together(spark):
+    from playlens.operators import link
+
+    starts, sizes = [0.0, 6.0, 12.0, 18.0, 24.0], [9e6, 1e6, 4e6, 8e6, 2e6]
+    segs = spark.createDataFrame([(1, i, s, s + 6, b) for i, (s, b) in enumerate(zip(starts, sizes))], "title long, n long, start double, end double, bytes double")
+    rows = [(1, first, 12.0, cap, size, rate) for first in (0, 2) for cap in (None, 500_000) for size in (None, 6e6, 24e6, 90e6) for rate in (None, 1e6, 9e6, 4e7)]
+    asked = spark.createDataFrame(rows, "title long, first long, buffer_secs double, buffer_bytes long, size double, rate double")
+    got = link.link_rates(asked, segs)
+    # One row of terms for each (first, buffer), whatever the sizes.
+    assert re.search(r"Aggregate \[[^\]]*\], \[[^\n]*collect_list\(size", got._jdf.queryExecution().optimizedPlan().toString())
+    for r in got.collect():
+        f = 1.0 if r.size is None else r.size / sum(sizes)
+        t, bits = starts[r.first :], [8 * b * f for b in sizes[r.first :]]
+        runs = [(j, k, sum(bits[j : k + 1])) for j in range(len(t)) for k in range(j, len(t))]
+        stretch = max(b / (12 + t[k] - t[j]) for j, k, b in runs)
+        if r.buffer_bytes is not None:
+            stretch = max([stretch] + [(b - 8.0 * r.buffer_bytes) / (t[k] - t[j]) for j, k, b in runs if k > j])
+        opening = max(sum(bits[: k + 1]) / (10 + t[k] - t[0]) for k in range(len(t)))
+        assert r.stretch_rate == pytest.approx(stretch, rel=1e-12) and r.needed_rate == pytest.approx(max(stretch, opening), rel=1e-12)
+        wait = max(sum(bits[: k + 1]) / r.rate - (t[k] - t[0]) for k in range(len(t))) if r.rate and stretch <= r.rate else None
+        assert (r.startup_delay is None) if wait is None else r.startup_delay == pytest.approx(max(wait, 0.0), rel=1e-12)
