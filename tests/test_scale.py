@@ -116,3 +116,21 @@ def test_sizes_of_a_shape_are_costed_together(spark):
         assert r.stretch_rate == pytest.approx(stretch, rel=1e-12) and r.needed_rate == pytest.approx(max(stretch, opening), rel=1e-12)
         wait = max(sum(bits[: k + 1]) / r.rate - (t[k] - t[0]) for k in range(len(t))) if r.rate and stretch <= r.rate else None
         assert (r.startup_delay is None) if wait is None else r.startup_delay == pytest.approx(max(wait, 0.0), rel=1e-12)
+
+
+def test_only_requests_with_a_reason_are_chosen_for(spark, monkeypatch):
+    import check
+    from __spark_entry__ import registry
+    from playlens.plans import releases as plans
+
+    kept, real = {}, plans.stored
+
+    def stored(df, purpose):
+        kept[purpose] = real(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(plans, "stored", stored)
+    status, n, _, _, note = check.compare(spark, registry()["requested_vs_served"], SF, check.connect(SF))
+    assert status == "ok" and n > 0, note
+    weighed = {r.request_id for r in kept["candidates"].select("request_id").distinct().collect()}
+    assert weighed and weighed <= {r.request_id for r in kept["reasons"].collect()}
