@@ -134,3 +134,14 @@ def test_only_requests_with_a_reason_are_chosen_for(spark, monkeypatch):
     assert status == "ok" and n > 0, note
     weighed = {r.request_id for r in kept["candidates"].select("request_id").distinct().collect()}
     assert weighed and weighed <= {r.request_id for r in kept["reasons"].collect()}
+
+
+def test_pictures_are_hashed_to_the_chosen(spark, monkeypatch):
+    from playlens.plans import releases as plans
+
+    some = spark.createDataFrame([(1, 0, True, "720p"), (2, 3, False, None), (3, None, False, None)], "request_id long, release_id long, transcoded boolean, preset string")
+    monkeypatch.setattr(plans, "chosen", lambda spark, sf: some)
+    got = plans.delivered_picture(spark, SF)
+    physical = got._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [release_id" in physical and "SortMergeJoin [release_id" not in physical and "p_name" not in physical.split("ShuffledHashJoin")[1].split("Relation")[0]
+    assert {r.request_id for r in got.collect()} == {1, 2}
